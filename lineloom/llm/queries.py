@@ -5,9 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, html, lines, packing, quality, sharding, simhash
-from .common import documents
+from . import chunks, decontaminate, html, lines, packing, quality, rollup, sharding, simhash, warc
+from .common import documents, scratch
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents come in, toxic ones go, and other languages than English get new counts.
+
+    Two of the batches are sent again, which changes nothing.
+    """
+    counts = rollup.token_counts(documents(spark, sf_dir), F.col("lang") != "en")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    old, new = ("word_bpe_49k", "first"), ("byte_bpe_50k", "second")
+    load = rollup.changes(counts, "insert", new=old)
+    removal = rollup.changes(counts.join(toxic, "id", "left_semi"), "delete", old=old)
+    recount = rollup.changes(counts.join(toxic, "id", "left_anti").where("again"), "revise", new=new, old=old)
+    store = rollup.TokenRollup(spark, scratch(spark, "rollup"))
+    for name, batch in (("load", load), ("toxic", removal), ("load", load), ("recount", recount), ("recount", recount)):
+        store.commit(name, batch)
+    return store.totals()
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +62,50 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's second visit, resolved; headers as sorted lines."""
+    found = warc.resolve(warc.captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    lines = F.expr("array_join(array_sort(transform(headers, h -> concat(h.name, ': ', h.value))), '\n')")
+    return found.select("record_id", "address", "resolution", "response_id", F.col("response_at").alias("response_at"), lines.alias("headers"), "body")
+
+
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, html, regexp_replace(url, '#.*$', '') AS u,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id) AS t FROM pages
+), q AS (
+  SELECT *, regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*:/*', '') AS r FROM p
+), c AS (
+  SELECT *,
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(r, '^[^/?]*')), '^.*@', ''), ':(80|443)?$', ''), '^www[0-9]*\.', '') AS host,
+    regexp_replace(regexp_replace(regexp_extract(r, '^[^/?]*([^?]*)', 1), '/+', '/', 'g'), '/$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(r, '^[^?]*\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|msclkid|yclid|mc_cid|mc_eid)(=|$)'))), '&') AS query
+  FROM q
+), a AS (
+  SELECT page_id, html, t, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS address FROM c
+), full_ AS (
+  SELECT address, t, max(page_id) AS page_id FROM a WHERE html IS NOT NULL AND address IS NOT NULL GROUP BY address, t
+), v AS (
+  SELECT v.page_id, v.html, v.address, v.t + INTERVAL 1 DAY AS t, f.page_id AS found, f.t AS found_t
+  FROM a v ASOF LEFT JOIN full_ f ON v.address = f.address AND v.t + INTERVAL 1 DAY > f.t
+), w AS (
+  SELECT v.*, s.html AS body, md5(v.html) AS mine, md5(s.html) AS theirs FROM v LEFT JOIN a s ON s.page_id = v.found
+), x AS (
+  SELECT *, CASE WHEN address IS NULL THEN 'no_address' WHEN found IS NULL THEN 'no_earlier_response'
+                 WHEN mine <> theirs THEN 'validator_mismatch' WHEN mine IS NULL THEN 'no_validator' ELSE 'resolved' END AS resolution FROM w
+)
+SELECT page_id * 2 + 1 AS record_id, address, resolution, found * 2 AS response_id, found_t AS response_at,
+  CASE WHEN resolution = 'resolved' THEN 'cache-control: max-age=120' || chr(10) || 'content-length: ' || strlen(body) || chr(10) ||
+    'content-type: text/html' || chr(10) || 'date: ' || strftime(t, '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: W/"' || theirs || '"' || chr(10) || 'x-cache: HIT' END AS headers,
+  CASE WHEN resolution = 'resolved' THEN body END AS body
+FROM x
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc_revisits": OP10_SQL}

@@ -83,6 +83,10 @@ class WordBpe:
         return len(self.ids(text)) // 4
 
 
+# White space, in UTF-8, and a blank after it.
+_PAIRS = [w.encode() + b" " for w in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"] + [chr(0x2000 + k).encode() + b" " for k in range(11)]
+
+
 class ByteBpe:
     """The tokenizer of ``byte_bpe_50k.tiktoken``: byte-level, a blank belongs to the word after it."""
 
@@ -97,11 +101,14 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("byte", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.counts = _Words(lambda word: len(self.encoding.encode_ordinary(word.decode("utf-8", "replace"))))
-        #: Runs of blanks whose cut would change the tokens.
-        self.odd = regex.compile(rb" [\s\x85\xa0]*[ ]|[\xa0\x85\x80-\x8a\xa8\xa9\xaf\x9f] | $").search
+        self.inside = regex.compile(r"(?<=\s) (?=\s)|(?<=\s) \s*$").search
+
+    def odd(self, text: bytes) -> bool:
+        """Whether a blank lies inside, or at the end, of other white space: a cut there would change the tokens."""
+        return any(p in text for p in _PAIRS) and self.inside(text.decode("utf-8", "replace")) is not None
 
     def count(self, text: bytes) -> int:
-        """Tokens of the text; cut before each single blank, unless blanks meet other white space."""
+        """Tokens of the text, which is cut before each blank."""
         if self.odd(text):
             return len(self.encoding.encode_ordinary(text.decode("utf-8", "replace")))
         first, *rest = text.split(b" ")
