@@ -75,9 +75,9 @@ def quote(literal: str) -> str:
 
 def validate(spark, regex: str, case_sensitive: bool = True) -> None:
     """Raise ValueError now if a pattern is not one, not when lines are read."""
-    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
 
     try:
         spark._jvm.java.util.regex.Pattern.compile(pattern(regex, case_sensitive))
-    except Py4JJavaError as e:
+    except IllegalArgumentException as e:
         raise ValueError(f"not a regular expression: {regex!r}") from e
