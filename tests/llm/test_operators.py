@@ -1,0 +1,579 @@
+"""The corpus operators against plain versions of their rules."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from lineloom.llm import chunks, components, decontaminate, html, lines, packing, quality, rollup, sharding, simhash, tokens, warc
+from lineloom.llm.common import scratch
+
+ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+# --- 1 token counts
+
+
+@pytest.fixture(scope="module")
+def word_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+
+
+TRICKY = ["It's 3,14 DON'T!", "<|endoftext|> a<|startoftext|>b", "naïve ÉCOLE ß ﬁ İ ſ", "a  b   c\n d \n  e ", "漢字かな😀👍🏽", "é ́x", " nbsp x", "  lead", "tail  ", "\x1c\x1d", ""]
+
+
+def test_cached_tokens_are_those_of_the_library(corpus, word_tokenizer):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path = tokens.vocabulary("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    one, two = tokens.WordBpe(tokens.vocabulary("word_bpe_49k.json")), tokens.ByteBpe(path)
+    for text in TRICKY + [t for _, t in corpus if t]:
+        ids = word_tokenizer.encode(text, add_special_tokens=False).ids
+        assert one.ids(text.encode()) == b"".join(i.to_bytes(4, "little") for i in ids), text
+        assert two.count(text.encode()) == len(plain.encode_ordinary(text)), text
+
+
+CHANGE = "op string, source string, lang string, version string, n_tokens long, old_source string, old_lang string, old_version string, old_n_tokens long"
+
+
+def test_rollup(spark):
+    store = rollup.TokenRollup(spark, scratch(spark, "test"))
+    none = (None,) * 4
+    batch = lambda *rows: spark.createDataFrame(list(rows), CHANGE)
+    first = batch(("insert", "a", "en", "v1", 10, *none), ("insert", "a", "en", "v1", 5, *none), ("insert", None, None, None, None, *none), ("?", "a", "en", "v1", 9, *none), (None, *none, *none))
+    assert store.totals().count() == 0
+    assert store.commit("one", first) and not store.commit("one", first)
+    assert store.commit("two", batch(("delete", *none, "a", "en", "v1", 5), ("revise", "a", "en", "v2", 12, "a", "en", "v1", 10)))
+    expected = {("a", "en", "v2"): (1, 12), (None, None, None): (1, 0)}
+    totals = lambda: {tuple(r[:3]): tuple(r[3:]) for r in store.totals().collect()}
+    assert totals() == expected
+    assert store.compact() and totals() == expected
+    assert not store.commit("two", first) and store.commit("three", batch()) and totals() == expected
+    assert store.commit("four", batch(("delete", *none, None, None, None, None))) and totals() == {("a", "en", "v2"): (1, 12)}
+    # A writer that was lost before its marker leaves nothing that counts.
+    rollup.signed(first).write.parquet(f"{store.root}/deltas/{store._name('five')}-lost")
+    assert totals() == {("a", "en", "v2"): (1, 12)} and not store.committed("five")
+
+
+def test_token_counts(docs, odd, empty, corpus, word_tokenizer):
+    got = by_id(rollup.token_counts(docs, F.col("lang") == "de"), "id")
+    for i, text in corpus:
+        assert got[i]["first"] == len(word_tokenizer.encode(text or "", add_special_tokens=False).ids)
+        assert (got[i]["second"] is None) == (i % 3 != 0)
+    assert rollup.token_counts(odd, F.lit(True)).count() == 8
+    assert rollup.token_counts(empty, F.lit(True)).count() == 0
+
+
+# --- 2 line dedup
+
+
+def plain_line_dedup(rows, least):
+    """Every repeated run of enough words, one by one."""
+    split = [(i, t.split("\n")) for i, t in rows if t is not None]
+    weight = lambda x: x.count(" ") + 1 if x else 0
+    first, out = set(), {}
+    for i, own in split:
+        gone = set()
+        for a in range(len(own)):
+            n = 0
+            for z in range(a, len(own)):
+                n += weight(own[z])
+                if n >= least:
+                    run = tuple(own[a : z + 1])
+                    if run in first:
+                        gone.update(range(a, z + 1))
+                    first.add(run)
+        out[i] = (len(own), len(gone), "\n".join(x for k, x in enumerate(own) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("least", [50, 5])
+def test_line_dedup(docs, corpus, least):
+    got = by_id(lines.line_dedup(docs, min_words=least))
+    expected = plain_line_dedup([(i, t) for i, t in corpus if t is None or len(t) < 100_000], least)
+    for i, text in corpus:
+        if text is None:
+            assert tuple(got[i])[1:] == (0, 0, None)
+        elif i in expected:
+            assert tuple(got[i])[1:] == expected[i], i
+    assert sum(r["n_removed"] for r in got.values()) > 30
+
+
+def test_line_dedup_odd(odd, empty, docs):
+    got = sorted(tuple(r) for r in lines.line_dedup(odd).na.fill({"doc_id": -1, "text": "null"}).collect())
+    text = "the quick brown fox jumps over the lazy dog " * 15
+    # Without an id it comes first; the two equal rows are one document, and copies of it.
+    assert got == [(-1, 0, 0, "null"), (-1, 0, 0, "null"), (-1, 1, 0, text), (1, 1, 0, "other words"), (1, 1, 1, ""), (1, 1, 1, ""), (2, 0, 0, "null"), (3, 1, 0, "")]
+    assert lines.line_dedup(empty).count() == 0
+    kept = lines.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert lines.drop_copies(odd).count() == 6
+
+
+def test_suffix_array_is_in_order(spark):
+    """Ranks at depth k order the suffixes by their first 2^k lines."""
+    texts = ["a\nb\na\nb\nc\na\nb", "b\na\nb\nc\nx1", "a\na\na\na\na\na"]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, th long, body string")
+    array, depth = lines.suffix_array(rows, 5)
+    assert depth == 2
+    ids = {}
+    for r in array.select("id", "pos", "segment", *[f"r{k}" for k in range(depth + 1)]).collect():
+        ids[r["id"], r["pos"]] = r
+    order = {v: r["r0"] for (i, p), r in ids.items() for v in [texts[i].split("\n")[p]]}
+    for k in range(depth + 1):
+        def prefix(place, k=k):
+            i, p = place
+            out, own = [], texts[i].split("\n")
+            while p < len(own) and (i, p) in ids and len(out) < 1 << k:
+                out.append(order[own[p]])
+                p += 1
+            return out
+        by_rank = sorted(ids, key=lambda x: ids[x][f"r{k}"])
+        prefixes = [prefix(x) for x in by_rank]
+        assert prefixes == sorted(prefixes)
+        for x, p in zip(by_rank, prefixes, strict=True):
+            assert ids[x][f"r{k}"] == 1 + sum(q < p for q in prefixes)
+
+
+# --- 3 html
+
+
+def test_tree_and_held_out_pages():
+    x, y = html.training_table()
+    tree = html.trained()
+    assert sum(html.decide(tree, r) == v for r, v in zip(x.tolist(), y, strict=True)) == len(y)
+    fold = [i for i in range(len(y)) if i % 3 == 0]
+    rest = [i for i in range(len(y)) if i % 3]
+    held = html.grow(x[rest], y[rest])
+    right = sum(html.decide(held, x[i]) == y[i] for i in fold)
+    assert right / len(fold) > 0.97
+
+
+PAGES = [
+    ("<html><head><title>No</title><style>p{}</style></head><body><nav><a href=/>Menu</a></nav><article><h1>A &amp; B</h1><p>One <b>bold</b>\n two.<br><p>Caf&eacute;&nbsp;x</article><footer>No</footer>", "A & B One bold two. Café x"),
+    ("<body><header><p>Site name and slogan of this site</p></header><main><header><h1>Title</h1></header><p>Text of it.</p><aside>Aside</aside><section id='comments'><p>A reader wrote this</p></section></main>", "Title Text of it."),
+    ("<article><p>In</p><div class='ad banner'>Buy it</div><form><label>Name</label></form><script>var a='</p>';</script><p>Out</p><!-- <p>no</p> --></article>", "In Out"),
+    ("<article><p>cut off in the mid", "cut off in the mid"),
+    ("<div class=cookie-notice>We use cookies and more cookies on this site for all of you</div>", ""),
+    ("<div><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul></div><div>" + "<p>" + "some words of prose " * 12 + "</p>" + "<p>" + "more words of it " * 12 + "</p></div>", ("some words of prose " * 12 + "more words of it " * 12).strip()),
+    ("a < b", ""),
+    ("", ""),
+    (None, ""),
+    ("<article><p>5 < 6 &lt; 7 & so</article>", "5 < 6 < 7 & so"),
+    ("<ARTICLE><P CLASS='x>y'>Upper</P></ARTICLE><unknown", "Upper"),
+]
+
+
+def test_pages(spark):
+    df = spark.createDataFrame([(i, "u", p, "z") for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, body string")
+    got = by_id(html.extract(df), "page_id")
+    for i, (_, text) in enumerate(PAGES):
+        assert got[i]["text"] == text, PAGES[i]
+        assert got[i]["n_chars"] == len(text)
+    assert html.extract(df.limit(0)).count() == 0
+
+
+# --- 4 simhash
+
+
+def plain_fingerprint(text):
+    from xxhash import xxh64_intdigest
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII))
+    if not words:
+        return 0
+    hashes = [xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    ids, parent = sorted(prints), {i: i for i in prints}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def test_simhash(docs, corpus, odd, empty):
+    got = by_id(simhash.near_duplicates(docs))
+    prints = {i: plain_fingerprint(t) for i, t in corpus}
+    assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{p:016x}" for i, p in prints.items()}
+    expected = plain_components(prints)
+    assert {i: r["component_id"] for i, r in got.items()} == expected
+    kept = simhash.keep_one(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values())) and kept.columns == docs.columns
+    found = simhash.near_duplicates(odd).collect()
+    assert len(found) == 8 and {r["component_id"] for r in found} == {1, 2}
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(odd).collect())[1:] == [(1, odd.first()["text"]), (2, None)] or simhash.keep_one(odd).count() == 3
+
+
+def test_anchors_cover():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    prints = rng.integers(-(2**63), 2**63 - 1, 300, dtype=np.int64)
+    at, home = simhash.anchors(prints, 0)
+    assert sorted(at) == list(range(300))  # a perfect code: one home each
+    home = dict(zip(at.tolist(), home.tolist(), strict=True))
+    for flips in ((0,), (5, 40), (22, 23), (63, 1), (45, 46), (3, 4), (50, 60)):
+        other = prints.copy()
+        for b in flips:
+            other ^= np.int64(1) << np.int64(b)
+        at, guest = simhash.anchors(other, 2)
+        seen = collections.defaultdict(list)
+        for i, a in zip(at.tolist(), guest.tolist(), strict=True):
+            seen[i].append(a)
+        assert all(seen[i].count(home[i]) == 1 for i in range(300))
+
+
+def test_links_find_every_pair(spark):
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    prints = set()
+    for _ in range(40):
+        p = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 6)):
+            prints.add(p)
+            for _ in range(rng.randint(0, 3)):
+                p ^= 1 << rng.randrange(64)
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    got = sorted(tuple(r) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "print long")).collect())
+    assert got == sorted((a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 30)] + [(100, 105), (105, 103), (200, 200), (7, 3)] + [(300, 300 + k) for k in range(1, 20)]
+    got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(31)} | {i: 100 for i in (100, 103, 105)} | {300 + k: 300 for k in range(20)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 5 substring dedup
+
+
+def test_chunks_are_those_of_the_rule(corpus):
+    gear = chunks.gear().tolist()
+    mask = ((1 << chunks.BITS) - 1) << chunks.LOW
+    for _, text in corpus[:40]:
+        data = (text or "").encode()
+        h, ends, last = 0, [], None
+        start = 0
+        for i, b in enumerate(data):
+            h = ((h << 1) + gear[b]) & 0xFFFF
+            if h & mask == 0:
+                if (last is None or i + 1 - last >= chunks.LEAST) and i + 1 < len(data):
+                    ends.append(i + 1)
+                last = i + 1
+        ends.append(len(data))
+        wanted = []
+        for e in ends if data else []:
+            wanted += [*range(start + chunks.MOST, e, chunks.MOST), e]
+            start = e
+        assert chunks.cuts(data).tolist() == wanted
+
+
+def test_substring_dedup(docs, corpus, odd, empty):
+    got = by_id(chunks.substring_dedup(docs))
+    first, expected = {}, {}
+    for i, text in corpus:
+        data, places, here = (text or "").encode(), [], set()
+        ends, digests = chunks.chunked(data)
+        for a, b, d in zip([0, *ends[:-1]], ends, digests, strict=True):
+            if first.setdefault(d, i) != i or d in here:
+                places.append({"start": a, "end": b})
+            here.add(d)
+        expected[i] = chunks.merged(places)
+    assert {i: [tuple(s) for s in r["spans"]] for i, r in got.items()} == expected
+    passage = collections.Counter(line for _, t in corpus if t for line in t.split("\n") if len(line.split()) == 60).most_common(1)[0][0]
+    holders = [i for i, t in corpus if t and passage in t]
+    assert len(holders) > 10 and all(got[i]["n_removed"] >= 150 and holders[0] in got[i]["copies_of"] for i in holders[1:])
+    cut = by_id(chunks.without_copies(docs))
+    for i, text in corpus:
+        if text and not expected[i]:
+            assert cut[i]["text"] == text
+        elif text:
+            assert len(cut[i]["text"].encode()) <= len(text.encode()) - sum(b - a for a, b in expected[i])
+    assert chunks.substring_dedup(odd).count() == 8 and chunks.substring_dedup(empty).count() == 0
+
+
+def test_insertions_move_few_cuts():
+    import random
+
+    rng = random.Random(2)
+    data = " ".join(f"w{rng.randrange(900)}" for _ in range(3000)).encode()
+    moved = data[:5000] + b"inserted words" + data[5000:]
+    _, a = chunks.chunked(data)
+    _, b = chunks.chunked(moved)
+    assert len(set(a) - set(b)) <= 4
+
+
+# --- 6 packing
+
+
+def check_packing(rows, expected, capacity):
+    got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows}
+    assert got == expected
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(places)
+
+
+def test_packing(docs, corpus, word_tokenizer, odd, empty):
+    expected, total = {}, 0
+    for i, text in corpus:
+        ids = [*word_tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        total += len(ids)
+        for k, a in enumerate(range(0, len(ids), 2048)):
+            cut = ids[a : a + 2048]
+            expected[i, k] = (a, len(cut), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in cut)))
+    n = check_packing(packing.pack(docs).collect(), expected, 2048)
+    assert n <= math.ceil(total / 2048) * 1.02 + 1
+    rows = packing.pack(odd).collect()
+    assert len(rows) == 8 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 8
+    assert packing.pack(empty).count() == 0
+
+
+def best_fit(lengths, capacity):
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        room = [(b, k) for k, b in enumerate(bins) if b >= n]
+        if room:
+            b, k = min(room)
+            bins[k] -= n
+        else:
+            bins.append(capacity - n)
+    return len(bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_as_good_as_best_fit(seed):
+    import random
+
+    rng = random.Random(seed)
+    capacity = rng.choice([50, 100, 2048])
+    lengths = [min(capacity, max(1, int(rng.lognormvariate(math.log(capacity / 3), rng.choice([0.2, 0.6, 1]))))) for _ in range(rng.choice([1, 7, 300, 3000]))]
+    histogram = dict(collections.Counter(lengths))
+    table = packing.plan(histogram, capacity)
+    used = collections.Counter()
+    count = 0
+    fill = collections.Counter()
+    rows = [dict(zip(table, r, strict=True)) for r in zip(*[table[k].tolist() for k in table], strict=True)]
+    for k, r in enumerate(rows):
+        later = [x["first"] for x in rows[k + 1 :] if x["length"] == r["length"]]
+        n = (later[0] if later else histogram[r["length"]]) - r["first"]
+        assert n % r["each"] == 0
+        used[r["length"]] += n
+        for s in range(n // r["each"]):
+            fill[r["sequence"] + s] += r["each"] * r["length"]
+    count = len(fill)
+    assert used == histogram and max(fill.values()) <= capacity
+    assert count <= best_fit(lengths, capacity) * 1.01 + 1
+
+
+# --- 7 decontamination
+
+
+def plain_decontaminate(rows, items):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII))
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = cut(t)
+        for k in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[k : k + 13])].add(str(i))
+    out = {}
+    for i, t in rows:
+        w, hit, found = cut(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    found |= own
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out[i] = (len(w), len(hit), len(found), digest, len(hit) > 0 and 20 * len(hit) >= len(w))
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 20, 300])
+def test_decontamination(spark, docs, corpus, odd, empty, most):
+    texts = dict(corpus)
+    long = [t for _, t in corpus if t and 100 < len(t.split()) < 300]
+    items = [(1, " ".join(long[0].split()[5:40])), (2, "one TWO"), (3, None), (4, ""), (5, " ".join(long[1].split()[:13]).upper()), (6, "Spam, eggs; spam"), (6, "漢字"), (10, " ".join(long[0].split()[20:50]))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontaminate.decontaminate(docs, benchmark, max_bytes=most))
+    expected = plain_decontaminate(corpus, items)
+    for i, row in expected.items():
+        assert tuple(got[i])[1:6] == row, i
+    for i, r in got.items():
+        covered = sum(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[i][s["start"] : s["end"]])) for s in r["spans"])
+        assert covered == r["n_hit"]
+    assert sum(r["contaminated"] for r in got.values()) >= 3
+    kept = decontaminate.drop_contaminated(docs, benchmark, max_bytes=most)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, r in expected.items() if not r[4]] and kept.columns == docs.columns
+    assert decontaminate.decontaminate(odd, benchmark).count() == 8 and decontaminate.decontaminate(empty, benchmark).count() == 0
+    none = decontaminate.decontaminate(docs, benchmark.limit(0)).collect()
+    assert not any(r["contaminated"] for r in none)
+
+
+# --- 8 sharding
+
+
+@pytest.mark.parametrize("shards", [16, 3, 1])
+def test_sharding(docs, corpus, shards):
+    rows = sharding.kd_shards(docs, shards=shards).collect()
+    texts = dict(corpus)
+    weight = collections.Counter()
+    slots = collections.defaultdict(list)
+    for r in rows:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+        weight[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(shards))
+
+
+def test_sharding_is_even_and_keeps_copies(spark, empty, odd):
+    rows = [(i, f"text {i % 4000} " * (1 + i % 7), "en" if i % 2 else "de", f"s{i % 9}", i % 50) for i in range(5000)] + [(5000 + i, "hot " * 50, "en", "s0", 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sharding.kd_shards(df).collect()
+    weight = collections.Counter()
+    for r in got:
+        weight[r["shard"]] += r["size"]
+    mean = sum(weight.values()) / 16
+    assert len(weight) == 16 and max(weight.values()) < 1.08 * mean and min(weight.values()) > 0.92 * mean
+    texts, where = {r[0]: r[1] for r in rows}, collections.defaultdict(set)
+    for r in got:
+        where[texts[r["doc_id"]]].add(r["shard"])
+    assert all(len(s) == 1 for t, s in where.items() if not t.startswith("hot"))
+    by_bytes = sharding.kd_shards(df, shards=None, target_bytes=int(mean)).collect()
+    assert len({r["shard"] for r in by_bytes}) == 16
+    assert sharding.kd_shards(empty).count() == 0 and sharding.kd_shards(odd).count() == 8
+
+
+# --- 9 quality
+
+
+def plain_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+    again = set()
+    for k in range(len(words) - 2):
+        if windows[tuple(words[k : k + 3])] > 1:
+            again |= {k, k + 1, k + 2}
+    own = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(own) - len(set(own)), len(again), n < 50 or 100 * len(again) > 50 * n
+
+
+def test_quality(docs, corpus, odd, empty, spark):
+    got = by_id(quality.quality(docs))
+    for i, text in corpus:
+        assert tuple(got[i])[1:7] == plain_quality(text), i
+        assert not (got[i]["kept"] and got[i]["base_failed"])
+    kept = quality.keep_good(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, r in sorted(got.items()) if r["kept"]] and kept.columns == docs.columns
+    assert quality.quality(odd).count() == 8 and quality.quality(empty).count() == 0
+
+
+def test_compression_bands(spark):
+    import base64
+    import random
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice(["an", "er", "th", "on", "re", "st", "ing", "ou"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    noise = base64.b64encode(rng.randbytes(9_000)).decode()
+    noise = " ".join(noise[i : i + 9] for i in range(0, len(noise), 9))
+    cycle = " ".join(f"{a} {b}" for a, b in [(f"x{i % 211}", f"y{i % 199}") for i in range(6_000)])
+    rows = [(1, prose(120)), (2, prose(3_000)), (3, noise), (4, cycle), (5, prose(400) + " " + cycle)]
+    got = by_id(quality.quality(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r["kept"] for i, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+# --- 10 warc
+
+
+def test_canonical(spark):
+    given = ["http://WWW.Example.com:80/a//b/?b=2&utm_source=x&a=1#top", "https://user@example.com/a/b?a=1&b=2", "example.com/", "https://example.com", "http://example.com?", None]
+    df = spark.createDataFrame([(u,) for u in given], "u string")
+    assert [r[0] for r in df.select(warc.canonical(F.col("u"))).collect()] == ["example.com/a/b?a=1&b=2", "example.com/a/b?a=1&b=2", "example.com", "example.com", "example.com", None]
+
+
+RECORD = "record_id long, kind string, url string, at timestamp, status int, headers array<struct<name:string,value:string>>, body string, address string"
+
+
+def test_revisits(spark):
+    import datetime
+
+    at = lambda h: datetime.datetime(2024, 1, 1 + h // 24, h % 24)
+    h = lambda **k: [(n.replace("_", "-"), v) for n, v in k.items()]
+    rows = [
+        (1, "response", "http://a.com/x", at(1), 200, h(ETag='"1"', Content_Type="text/html", Cache_Control="a", Set_Cookie="s"), "one", "z"),
+        (2, "response", "https://A.com/x/#f", at(40), 200, h(ETag='"2"', Last_Modified="m"), "two", "z"),
+        (3, "response", "http://a.com/x", at(41), 404, h(ETag='"3"'), "gone", "z"),
+        (4, "revisit", "http://a.com/x", at(2), 304, h(ETag='W/"1"', Content_Type="no", cache_control="b", Connection="close, X-Drop", X_Drop="d", X_New="n"), None, "z"),
+        (5, "revisit", "http://a.com/x", at(50), 304, h(ETag='"2"'), None, "z"),
+        (6, "revisit", "http://a.com/x", at(50), 304, h(ETag='"1"'), None, "z"),
+        (7, "revisit", "http://a.com/x", at(1), 304, h(ETag='"1"'), None, "z"),
+        (8, "revisit", None, at(60), 304, None, None, "z"),
+        (9, "revisit", "http://a.com/x", at(60), 304, None, None, "z"),
+        (10, "revisit", "http://a.com/x", None, 304, h(ETag='"2"'), None, "z"),
+        (11, "revisit", "http://a.com/x", at(60), 304, h(Last_Modified="m"), None, "z"),
+        (12, "revisit", "http://a.com/x", at(60), 304, h(Last_Modified="n", ETag='"2"'), None, "z"),
+        (12, "revisit", "http://a.com/x", at(60), 304, h(Last_Modified="n", ETag='"2"'), None, "z"),
+    ]
+    found = warc.resolve(spark.createDataFrame(rows, RECORD)).collect()
+    assert len(found) == 10
+    got = {r["record_id"]: r for r in found}
+    assert {i: (r["resolution"], r["response_id"], r["body"]) for i, r in got.items()} == {
+        4: ("resolved", 1, "one"), 5: ("resolved", 2, "two"), 6: ("validator_mismatch", 2, None), 7: ("no_earlier_response", None, None), 8: ("no_address", None, None),
+        9: ("no_validator", 2, None), 10: ("no_earlier_response", None, None), 11: ("resolved", 2, "two"), 12: ("validator_mismatch", 2, None),
+    }
+    assert [tuple(x) for x in got[4]["headers"]] == [("content-type", "text/html"), ("set-cookie", "s"), ("etag", 'W/"1"'), ("cache-control", "b"), ("x-new", "n")]
+    assert warc.resolve(spark.createDataFrame([], RECORD)).count() == 0
+
+
+def test_revisit_query_matches_sql(spark):
+    import duckdb
+
+    from lineloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    df = queries.queries()["op10_warc_revisits"](spark, sf)
+    expected = duckdb.sql(queries.oracle_sql()["op10_warc_revisits"])
+    order = [expected.columns.index(c) for c in df.columns]
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted((tuple(r[i] for i in order) for r in expected.fetchall()), key=repr)
