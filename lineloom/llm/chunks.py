@@ -75,6 +75,8 @@ def chunked(text: bytes) -> tuple[list[int], list[bytes]]:
     from xxhash import xxh3_128_digest
 
     ends = cuts(text).tolist()
+    if not ends:
+        return [], []
     return ends, [xxh3_128_digest(text[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
