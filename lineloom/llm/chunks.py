@@ -1,9 +1,9 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; places where some bits of it are zero
-are candidates, and a candidate that lies at least ``LEAST`` bytes after the one
-before it is a cut.  Both tests look at the last bytes only, so an insertion moves
-cuts near it and no others.  Chunks are compared by a 128-bit digest.  A chunk that
+A gear hash rolls over the bytes of a text, and a cut comes after each byte at which
+it is least among the ``REACH`` bytes on either side.  The test looks at nearby bytes
+only, so an insertion moves cuts near it and no others, and cuts are evenly spaced
+(16 bytes or more apart, 31 on average).  Chunks are compared by a 128-bit digest.  A chunk that
 an earlier document has (by id), or that occurs earlier in the same text, is a later
 copy; maximal runs of adjacent later copies of ``RUN`` bytes or more are the spans to
 delete.  Chunks are short (about 32 bytes) against the passages sought (over 50
@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, T, _binary, append_columns, column, fresh, stash
 
-#: A cut's candidates: BITS zero bits of the hash, from bit LOW on; it spans LOW + BITS bytes.
-BITS, LOW = 4, 12
-LEAST, MOST = 12, 256
+#: Bytes on either side among which the hash, of 16 bits and as many bytes, is least at a cut.
+REACH = 15
+#: The longest chunk: text that repeats itself has no least place.
+MOST = 256
 #: Bytes of adjacent copied chunks that make a span.
 RUN = 96
 
@@ -59,10 +60,15 @@ def cuts(text: bytes) -> np.ndarray:
     h = gear()[np.frombuffer(text, dtype=np.uint8)]
     for k in (1, 2, 4, 8):
         h[k:] = h[k:] + (h[:-k] << np.uint16(k)) if n > k else h[k:]
-    mask = np.uint16(((1 << BITS) - 1) << LOW)
-    at = np.flatnonzero((h & mask) == 0) + 1
-    if len(at):
-        at = at[np.diff(at, prepend=-MOST) >= LEAST]
+    # low[i] = least of h[i-REACH .. i-1]: h beyond the ends counts as the greatest.
+    padded = np.full(n + 2 * REACH, 0xFFFF, dtype=np.uint16)
+    padded[REACH : REACH + n] = h
+    low, width = padded, 1
+    while 2 * width <= REACH:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    low = np.minimum(low[: len(low) - (REACH - width)], low[REACH - width :])
+    at = np.flatnonzero((h < low[:n]) & (h <= low[REACH + 1 : REACH + 1 + n])) + 1
     ends = np.unique(np.append(at[at < n], n))
     wide = np.diff(ends, prepend=0)
     if (wide > MOST).any():
