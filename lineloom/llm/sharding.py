@@ -158,9 +158,10 @@ def kd_shards(
     # Keys below the dimension: of a group, or of a part of a large one.
     key = lambda *cols: F.shiftrightunsigned(F.xxhash64(*cols), 64 - DEEP).alias("u")
     part = F.pmod(F.xxhash64("id", "h"), "parts").alias("part")
-    named = rows.join(groups.select("h", "parts", *qs), "h").withColumn("part", part)
     small = groups.where("parts = 1").select(F.lit(1).cast("long").alias("node"), key("h", F.lit(0).cast("long")), "w", *qs)
-    large = named.where("parts > 1").groupBy("h", "part", *qs).agg(F.sum("size").alias("w"))
+    # Groups above GROUP of a leaf are fewer than leaves / GROUP, so their table is broadcast.
+    heavy = rows.join(F.broadcast(groups.where("parts > 1").select("h", "parts", *qs)), "h")
+    large = heavy.withColumn("part", part).groupBy("h", "part", *qs).agg(F.sum("size").alias("w"))
     large = large.select(F.lit(1).cast("long").alias("node"), key("h", "part"), "w", *qs)
     points = stash(small.union(large), "shard-points")
     nodes, ends, levels = [{"node": 1, "leaves": leaves}], [], []
@@ -172,6 +173,7 @@ def kd_shards(
         points = stash(_down(points, levels[-1], len(dims)), "shard-points")
         nodes = [child for n in nodes for child in _children(n)]
     ends = [(n["node"], k) for k, n in enumerate(sorted(nodes, key=lambda n: n["node"]))]
+    named = rows.join(groups.select("h", "parts", *qs), "h").withColumn("part", part)
     dealt = named.select("id", "h", "size", "crc", *qs, F.when(F.col("parts") > 1, key("h", "part")).otherwise(key("h", F.lit(0).cast("long"))).alias("u"))
     dealt = dealt.withColumn("node", F.lit(1).cast("long"))
     for level in levels:
