@@ -161,9 +161,11 @@ def classes(rows: DataFrame) -> DataFrame:
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     named = named.join(least, "root").select("print", "root", "component")
     alone = F.col("root").isNull()
-    return nodes.join(named, "print", "left").select(
+    named = nodes.join(named, "print", "left").select(
         "print", F.coalesce("root", "print").alias("class"), F.when(alone, F.col("first")).otherwise(F.col("component")).alias("component")
     )
+    # Written, so that Spark can split the fingerprint of a large group of copies where rows are joined with this.
+    return stash(named, "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
