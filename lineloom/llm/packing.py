@@ -46,8 +46,8 @@ RATE = 0.2
 PIECE = 2.0
 #: Misses after which the table that completes bins is made anew.
 STALE = 16
-#: Pieces of one length that are numbered in one task, about.
-BUCKET = 50_000
+#: Pieces of one length that are numbered together: so many, or the square root of their number.
+BUCKET = 1_000
 
 
 # --- the plan, on the driver ---------------------------------------------------------
@@ -225,7 +225,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # one row for each length
     shared = spark.sparkContext.broadcast(plan(histogram, capacity, rounds))
     # Frequent lengths are numbered in as many buckets as they need.
-    buckets = spark.createDataFrame([(n, 1 + c // BUCKET) for n, c in histogram.items()], "length long, buckets long")
+    buckets = spark.createDataFrame([(n, 1 + c // max(BUCKET, math.isqrt(c))) for n, c in histogram.items()], "length long, buckets long")
     dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "crc"), "buckets"))
     sizes = dealt.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
