@@ -96,7 +96,9 @@ def suffix_array(rows: DataFrame, min_words: int) -> tuple[DataFrame, int]:
     lines = lines.select("id", "th", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), words.cast("long").alias("words"))
     lines = stash(lines, "lines")
     found = lines.join(line_ids(lines), ["a", "b"]).select("id", "th", "pos", "words", "r0")
-    found = found.repartition(*_DOC).dropDuplicates([*_DOC, "pos"])
+    # By number: the windows below sort these partitions several times, so they are not to be joined to few.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.repartition(parts, *_DOC).dropDuplicates([*_DOC, "pos"])
     found = found.withColumn("segment", F.col("pos") - F.row_number().over(Window.partitionBy(*_DOC).orderBy("pos")))
     total = F.sum("words").over(Window.partitionBy(*_SEGMENT).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("upto", total)
@@ -128,7 +130,9 @@ def later_copies(rows: DataFrame, min_words: int) -> DataFrame:
     runs = runs.select("id", "th", F.col("run.a").alias("a"), F.col("run.z").alias("z"), "w", begin.alias("x"), end.alias("y"))
     runs = stash(runs, "runs")
     intervals = runs.groupBy("w", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a")).alias("origin")).where("n > 1")
-    copies = runs.join(intervals.select("w", "x", "y", "origin"), ["w", "x", "y"]).where("not (struct(id, th, a) <=> origin)")
+    # Written, so that Spark can split the runs of a large interval in the join.
+    intervals = stash(intervals.select("w", "x", "y", "origin"), "intervals")
+    copies = runs.join(intervals, ["w", "x", "y"]).where("not (struct(id, th, a) <=> origin)")
     places = F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "z"))))
     return copies.groupBy(*_DOC).agg(places.alias("gone"))
 
