@@ -34,7 +34,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", "text", "n_chars")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(documents(spark, sf_dir), benchmark)
+    found = decontaminate.decontaminate(documents(spark, sf_dir), benchmark)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,66 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "address", "resolution", "response_id", F.col("response_at").alias("response_at"), lines.alias("headers"), "body")
 
 
+#: Every run of enough words, each by its digest; the first of equal ones stays.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), n AS (
+  SELECT doc_id, text, l, list_transform(l, lambda x: CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, ' ', '')) + 1 END) AS w FROM d WHERE text IS NOT NULL
+), b AS (
+  SELECT *, unnest(range(len(l))) AS a FROM n
+), r AS (
+  SELECT *, unnest(range(a, len(l))) AS z FROM b
+), k AS (
+  SELECT doc_id, text, a, z, md5(array_to_string(l[a + 1 : z + 1], chr(10))) AS run FROM r WHERE list_sum(w[a + 1 : z + 1]) >= 50
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS nth FROM k
+), g AS (
+  SELECT doc_id, list_distinct(flatten(list(range(a, z + 1)))) AS gone FROM f WHERE nth > 1 GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(l) END AS n_lines, coalesce(len(gone), 0) AS n_removed,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(len(l)), lambda i: NOT list_contains(gone, i)), lambda i: l[i + 1]), chr(10)) END AS text
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+#: What the article elements of these pages hold; their only inline element is b, their references are two.
+OP3_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages
+), b AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS body FROM a
+), c AS (
+  SELECT page_id, url, replace(replace(replace(body, '&quot;', '"'), '&amp;', '&'), '&amp', '&') AS body FROM b
+), t AS (
+  SELECT page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) AS text FROM c
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
+#: Windows of documents joined with those of items, for each window length.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item, n, array_to_string(w[k + 1 : k + n], ' ') AS win
+  FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(greatest(1, len(w) - 12))) AS k FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, n, p, array_to_string(w[p + 1 : p + n], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+), h AS (
+  SELECT doc_id, p, dw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win
+), c AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS word FROM h) GROUP BY doc_id
+), o AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN o ON d.doc_id = o.doc_id
+"""
+
 OP10_SQL = r"""
 WITH p AS (
   SELECT page_id, html, regexp_replace(url, '#.*$', '') AS u,
@@ -108,4 +170,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_revisits": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_html_extraction": OP3_SQL, "op7_benchmark_decontamination": OP7_SQL, "op10_warc_revisits": OP10_SQL}
