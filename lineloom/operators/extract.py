@@ -75,8 +75,12 @@ class Extract:
     def counts(self, frame: LineFrame) -> DataFrame:
         """input lines, output values and affected values: copies dropped."""
         found = self._matches(frame.ranked()).df
-        lines = frame.df.agg(F.count("*").alias("input"))
-        if not self.unique:
-            return lines.crossJoin(found.agg(F.count("*").alias("output"), F.lit(0).cast("long").alias("affected")))
-        kept = found.groupBy(S.key(F.col("value"), self.case_sensitive).alias("_k")).agg(F.count("*").alias("_n"))
-        return lines.crossJoin(kept.agg(F.count("*").alias("output"), F.coalesce(F.sum("_n") - F.count("*"), F.lit(0)).alias("affected")))
+        none = F.lit(0).cast("long")
+        lines = frame.df.agg(F.count("*").alias("input"), none.alias("output"), none.alias("affected"))
+        if self.unique:
+            found = found.groupBy(S.key(F.col("value"), self.case_sensitive).alias("_k")).agg(F.count("*").alias("_n"))
+            affected = F.coalesce(F.sum("_n") - F.count("*"), none)
+        else:
+            affected = none
+        values = found.agg(none.alias("input"), F.count("*").alias("output"), affected.alias("affected"))
+        return lines.union(values).agg(*[F.sum(c).alias(c) for c in ("input", "output", "affected")])

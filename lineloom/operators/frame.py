@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stash
@@ -57,8 +57,8 @@ class LineFrame:
         part, place = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
         sizes = ranged.groupBy(part).agg((F.max(place) + 1).alias("_n"))
         # One row for each range, of which the session sets the number.
-        before = sizes.crossJoin(F.broadcast(sizes.agg(F.sort_array(F.collect_list(F.struct("_part", "_n"))).alias("_all"))))
-        before = before.select("_part", F.expr("aggregate(filter(_all, x -> x._part < _part), 0L, (n, x) -> n + x._n)").alias("_before"))
+        past = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        before = sizes.select("_part", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"))
         joined = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")
         done = joined.withColumn(name, F.col("_before") + place + 1).drop("_part", "_before", "_at")
         return LineFrame(done, ((name, True),))

@@ -89,16 +89,16 @@ def checkpoint_before(index: DataFrame, line: int | None = None, byte: int | Non
 def chunk(lines: DataFrame, line: int, count: int) -> DataFrame:
     """``count`` lines (up to 50,000) from a line on; lines beyond the ends are the nearest."""
     count = min(MOST_CHUNK, max(1, count))
-    last = lines.agg(F.greatest(F.lit(1), F.least(F.max("line_no"), F.lit(line))).alias("from"))
-    near = lines.crossJoin(F.broadcast(last))  # one row
-    return near.where((F.col("line_no") >= F.col("from")) & (F.col("line_no") < F.col("from") + count)).drop("from")
+    last = lines.agg(F.max("line_no")).first()[0] or 1
+    first = min(max(1, line), last)
+    return lines.where(F.col("line_no").between(first, first + count - 1))
 
 
 def chunk_at_byte(lines: DataFrame, byte: int, count: int) -> DataFrame:
     """``count`` lines from the one that holds the byte on."""
     count = min(MOST_CHUNK, max(1, count))
-    first = lines.agg(F.coalesce(F.min(F.when(F.col("byte_end") > byte, F.col("line_no"))), F.max("line_no")).alias("from"))
-    return lines.crossJoin(F.broadcast(first)).where((F.col("line_no") >= F.col("from")) & (F.col("line_no") < F.col("from") + count)).drop("from")
+    first = lines.agg(F.coalesce(F.min(F.when(F.col("byte_end") > byte, F.col("line_no"))), F.max("line_no"))).first()[0] or 1
+    return lines.where(F.col("line_no").between(first, first + count - 1))
 
 
 def line_at_percent(line_count: int, percent: float) -> int:
