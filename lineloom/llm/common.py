@@ -7,8 +7,6 @@ they need under names of their own, so extra or clashing columns do no harm.
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,38 +14,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import scratch, shared_dir
+
 #: Rows that one Arrow slice holds at most while a Python stage works on it.
 SLICE_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary folder is
-    made and remembered in the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("lineloom.shared.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lineloom-")
-        spark.conf.set("lineloom.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/lineloom/{label}-{uuid.uuid4().hex}"
-
-
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The table outlives lost executors, unlike cached blocks.
+    The table outlives lost executors, unlike cached blocks.  It stays until its folder
+    is cleared, as checkpoints do; loops discard the tables that they have replaced.
     """
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of ``stash``, which nothing is to read again."""
+    if path := getattr(df, "_scratch", None):
+        remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -103,11 +92,6 @@ def append_columns(df: DataFrame, text: str, added: T.StructType, make: Callable
     return df.mapInArrow(run, T.StructType(fields))
 
 
-def total(df: DataFrame, *columns: Column):
-    """One row of global aggregates."""
-    return df.agg(*columns).first()
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -117,4 +101,4 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return functools.reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
-__all__ = ["F", "T", "append_columns", "column", "documents", "fresh", "null_safe", "remove", "scratch", "shared_dir", "stash", "total"]
+__all__ = ["F", "T", "append_columns", "column", "discard", "documents", "fresh", "null_safe", "remove", "scratch", "shared_dir", "stash"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         with_least = large.join(least, "hi")
         small = least.select("hi", F.col("m").alias("lo")).union(with_least.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
-        now, before = stash(small.distinct(), "edges"), mark
+        old, now, before = now, stash(small.distinct(), "edges"), mark
+        discard(old)
         mark = _mark(now)
         if mark == before:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, stash
+from .common import column, discard, stash
 
 #: The largest group of copies that is not dealt out, as a share of a leaf.
 GROUP = 0.05
@@ -170,7 +170,8 @@ def kd_shards(
         # Leaves go on unchanged, on the left.
         cuts += [(n["node"], 0, TOP, 0) for n in nodes if n["leaves"] == 1]
         levels.append(literal_table(spark, cuts, "node bigint, dim int, cq bigint, cu bigint"))
-        points = stash(_down(points, levels[-1], len(dims)), "shard-points")
+        old, points = points, stash(_down(points, levels[-1], len(dims)), "shard-points")
+        discard(old)
         nodes = [child for n in nodes for child in _children(n)]
     ends = [(n["node"], k) for k, n in enumerate(sorted(nodes, key=lambda n: n["node"]))]
     named = rows.join(groups.select("h", "parts", *qs), "h").withColumn("part", part)
