@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import column, discard, stash
 
 #: The largest group of copies that is not dealt out, as a share of a leaf.
-GROUP = 0.05
+GROUP = 0.02
 #: A cut is good enough when it misses its goal by this share of a leaf.
 CLOSE = 0.001
 #: Rows of a shard that one task numbers, about.
