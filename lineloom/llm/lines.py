@@ -38,8 +38,8 @@ from .common import column, fresh, stash
 
 #: The least words of a repeated run.  Words of a line: its blanks, and one more.
 MIN_WORDS = 50
-#: Buckets for the first names, by bits of the digest, and bits of a rank that one bucket of a class spans.
-DIGEST_BITS, RANK_BITS = 12, 16
+#: The bits of the greatest number of buckets in which names are given.
+MOST_BITS = 20
 
 _DOC = ["id", "th"]
 _SEGMENT = ["id", "th", "segment"]
@@ -51,22 +51,29 @@ def _below(order: list, partition: list[str], count: str = "n"):
     return F.coalesce(F.sum(count).over(rows), F.lit(0))
 
 
+def half_bits(n: int) -> int:
+    """Bits of the square root of n: so many buckets, and about as many rows in each."""
+    return min(MOST_BITS, max(4, n.bit_length() // 2))
+
+
 def line_ids(lines: DataFrame) -> DataFrame:
     """(a, b, r0): lines that occur more than once and the suffixes that begin with lesser lines, plus 1."""
     counted = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-    counted = stash(counted.withColumn("bucket", F.shiftright("a", 64 - DIGEST_BITS)), "line-ids")
+    counted = stash(counted, "line-ids")
+    # Digests are even, so their leading bits are even buckets, in order.
+    counted = counted.withColumn("bucket", F.shiftright("a", 64 - half_bits(counted.count())))
     buckets = counted.groupBy("bucket").agg(F.sum("n").alias("n"))
     buckets = buckets.select("bucket", F.lit(1).alias("one"), "n").withColumn("base", _below(["bucket"], ["one"])).select("bucket", "base")
     within = counted.withColumn("within", _below(["a", "b"], ["bucket"]))
-    return within.join(F.broadcast(buckets), "bucket").select("a", "b", (F.col("base") + F.col("within") + 1).alias("r0"))
+    return within.join(buckets, "bucket").select("a", "b", (F.col("base") + F.col("within") + 1).alias("r0"))
 
 
-def double(suffixes: DataFrame, k: int) -> DataFrame:
-    """``suffixes`` with rank r(k+1), by 2^(k+1) lines, from r(k)."""
+def double(suffixes: DataFrame, k: int, bits: int) -> DataFrame:
+    """``suffixes`` with rank r(k+1), by 2^(k+1) lines, from r(k); a bucket spans 2^bits ranks."""
     now, after = f"r{k}", f"r{k + 1}"
     ahead = F.lead(now, 1 << k).over(Window.partitionBy(*_SEGMENT).orderBy("pos"))
     paired = stash(suffixes.withColumn("second", F.coalesce(ahead, F.lit(0))), "suffixes")
-    pairs = paired.groupBy(now, "second").agg(F.count("*").alias("n")).withColumn("bucket", F.shiftright("second", RANK_BITS))
+    pairs = paired.groupBy(now, "second").agg(F.count("*").alias("n")).withColumn("bucket", F.shiftright("second", bits))
     pairs = stash(pairs, "pairs")
     buckets = pairs.groupBy(now, "bucket").agg(F.sum("n").alias("n"))
     buckets = buckets.withColumn("base", _below(["bucket"], [now])).select(now, "bucket", "base")
@@ -106,10 +113,11 @@ def suffix_array(rows: DataFrame, min_words: int) -> tuple[DataFrame, int]:
     found = _nearest(found, "reach", F.col("upto"), before + min_words, rising=False)
     found = _nearest(found, "back", before, F.col("upto") - min_words, rising=True)
     suffixes = stash(found.drop("upto"), "suffixes")
-    longest = suffixes.agg(F.max(F.greatest(F.col("reach") - F.col("pos") + 1, F.col("pos") - F.col("back") + 1))).first()[0] or 0
+    size = F.max(F.greatest(F.col("reach") - F.col("pos") + 1, F.col("pos") - F.col("back") + 1))
+    longest, count = suffixes.agg(size, F.count("*")).first()
     depth = 0
-    while 2 << depth <= longest:
-        suffixes = double(suffixes, depth)
+    while 2 << depth <= (longest or 0):
+        suffixes = double(suffixes, depth, half_bits(count))
         depth += 1
     return suffixes, depth
 
