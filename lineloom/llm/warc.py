@@ -24,7 +24,12 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import gzip
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, stash
@@ -119,6 +124,74 @@ def resolve(records: DataFrame) -> DataFrame:
     )
 
 
+def _lines(stream: io.BufferedIOBase) -> Iterator[tuple[str, str]]:
+    """Header fields up to the empty line; a line that begins with white space goes on with the one before."""
+    name = value = None
+    while (line := stream.readline()).strip():
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        if text[0] in " \t" and name is not None:
+            value += " " + text.strip()
+            continue
+        if name is not None:
+            yield name, value
+        name, _, value = (p.strip() for p in text.partition(":"))
+    if name is not None:
+        yield name, value
+
+
+def records(data: bytes) -> Iterator[dict]:
+    """The responses and revisits of a WARC file, plain or in gzip members; others are passed over."""
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue  # the empty lines after a record
+        fields = {n.lower(): v for n, v in _lines(stream)}
+        block = stream.read(int(fields.get("content-length", 0)))
+        kind = fields.get("warc-type")
+        if kind == "revisit" and "not-modified" not in fields.get("warc-profile", ""):
+            kind = "revisit-other"
+        if kind not in ("response", "revisit", "revisit-other"):
+            continue
+        http = io.BytesIO(block)
+        status = http.readline().split() if block.startswith(b"HTTP/") else []
+        headers = [{"name": n, "value": v} for n, v in _lines(http)] if status else None
+        code = status[1].decode() if len(status) > 1 and status[1].isdigit() else None
+        yield {
+            "record_id": fields.get("warc-record-id"),
+            "kind": kind,
+            "url": fields.get("warc-target-uri", "").strip("<>") or None,
+            "at": fields.get("warc-date"),
+            "status": None if code is None else int(code),
+            "headers": headers,
+            "body": http.read().decode("utf-8", "replace") if status and kind == "response" else None,
+        }
+
+
+_RECORD = pa.schema(
+    [("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("at", pa.string()), ("status", pa.int32())]
+    + [("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("body", pa.string())]
+)
+
+
+def _read(batches):
+    for batch in batches:
+        for data in batch.column(0):
+            block: list[dict] = []
+            for record in records(data.as_py()):
+                block.append(record)
+                if len(block) == 256:
+                    yield pa.RecordBatch.from_pylist(block, schema=_RECORD)
+                    block = []
+            yield pa.RecordBatch.from_pylist(block, schema=_RECORD)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files for ``resolve``; one file is read in one task, in blocks of records."""
+    schema = "record_id string, kind string, url string, at string, status int, headers array<struct<name:string,value:string>>, body string"
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, schema)
+    return found.withColumn("at", F.try_to_timestamp("at"))
+
+
 def _headers(*pairs: tuple[str, Column]) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in pairs])
 

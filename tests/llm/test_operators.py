@@ -571,6 +571,30 @@ def test_revisits(spark):
     assert warc.resolve(spark.createDataFrame([], RECORD)).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    def record(kind, name, date, block, *fields):
+        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{name}>", "WARC-Target-URI: http://a.com/x", f"WARC-Date: {date}", *fields, f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    page = "H\u00e9llo\r\n\r\nWARC/1.1\r\n".encode()
+    parts = [
+        record("warcinfo", "i", "2024-01-01T00:00:00Z", b"x: y"),
+        record("response", "r", "2024-01-01T00:00:01Z", b'HTTP/1.1 200 OK\r\nETag: "1"\r\nX-Long: a\r\n b\r\n\r\n' + page),
+        record("revisit", "v", "2024-01-02T00:00:00Z", b'HTTP/1.1 304 Not Modified\r\nETag: "1"\r\n\r\n', "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/server-not-modified"),
+        record("revisit", "w", "2024-01-02T00:00:00Z", b"", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "c.warc").write_bytes(b"")
+    for name, n in (("a.warc", 3), ("b.warc.gz", 3), ("c.warc", 0)):
+        assert warc.read(spark, str(tmp_path / name)).count() == n
+    (found,) = warc.resolve(warc.read(spark, str(tmp_path / "b.warc.gz"))).collect()
+    assert (found["record_id"], found["resolution"], found["response_id"], found["body"]) == ("<urn:v>", "resolved", "<urn:r>", page.decode())
+    assert [tuple(h) for h in found["headers"]] == [("x-long", "a b"), ("etag", '"1"')]
+
+
 SF = "/root/testdata/sf0.001"
 
 
