@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
-from time import monotonic
 
 from pyspark.sql import SparkSession
 
@@ -15,9 +14,7 @@ from ..operators.extract import Extract
 from ..operators.filter import Filter, Rule
 from ..operators.frame import LineFrame
 from ..operators.sort import Sort
-from ..sources.encoding import detect_file
-from ..sources.files import Files
-from ..sources.text import read_lines, write_file
+from .runs import Result, run_steps
 
 KINDS = {"clean": Clean, "filter": Filter, "dedupe": Dedupe, "extract": Extract, "sort": Sort}
 
@@ -38,15 +35,6 @@ class Step:
         return self.options
 
 
-@dataclass(frozen=True)
-class Result:
-    output: str
-    input_lines: int
-    output_lines: int
-    affected: int
-    seconds: float
-
-
 @dataclass(frozen=True)
 class Pipeline:
     name: str
@@ -73,18 +61,7 @@ class Pipeline:
 
     def run(self, spark: SparkSession, source: str, target: str) -> Result:
         """One file in, one new file out; the counters are those of the last step."""
-        operators, began = self.operators(), monotonic()
-        if Files(spark).exists(target):
-            raise FileExistsError(target)
-        encoding = detect_file(spark, source)
-        frame = read_lines(spark, source, encoding)
-        for operator in operators[:-1]:
-            frame = operator.apply(frame)
-        counts = operators[-1].counts(frame).first()
-        ending = operators[-1].line_ending if isinstance(operators[-1], Clean) else "\n"
-        plain = any(isinstance(o, Extract) for o in operators)  # what is extracted is written as UTF-8
-        written = write_file(operators[-1].apply(frame), target, ending, None if plain else encoding)
-        return Result(target, counts["input"], written, counts["affected"], monotonic() - began)
+        return run_steps(spark, self.operators(), source, target)
 
     def to_json(self) -> str:
         steps = [{"kind": s.kind, "enabled": s.enabled, "options": None if s.options is None else asdict(s.options)} for s in self.steps]

@@ -4,11 +4,15 @@ import os
 import pytest
 
 from lineloom.operators.clean import Clean
+from lineloom.operators.columns import Columns
+from lineloom.operators.compare import Compare
 from lineloom.operators.dedupe import Dedupe
 from lineloom.operators.extract import Extract
 from lineloom.operators.filter import Filter, Rule
+from lineloom.operators.merge import Merge
 from lineloom.operators.sort import Sort
 from lineloom.operators.split import Split
+from lineloom.plans import runs
 from lineloom.plans.pipeline import Batch, Pipeline, Step, clean_and_dedupe
 from lineloom.sources import encoding as E
 from lineloom.sources import state
@@ -168,6 +172,24 @@ def test_pipeline(spark, put, tmp_path, frame, lines):
     assert lines(clean_and_dedupe().apply(f)) == ["apple", "pear"]
 
 
+def test_runs_over_files(spark, put, tmp_path):
+    one, two = put("one.txt", "b;1\na;2\nbad\n"), put("two.txt", "ü;3\nA;2".encode("utf-16"))
+    out = lambda name: str(tmp_path / "out" / name)
+    got = runs.run(spark, Columns(";", "extract", 1), one, out("col.txt"))
+    assert (got.input_lines, got.output_lines, got.affected, open(got.output).read()) == (3, 2, 1, "1\n2\n")
+    got = runs.run(spark, Sort("alpha"), two, out("sorted.txt"))
+    assert open(got.output, "rb").read().decode("utf-16") == "A;2\nü;3\n"
+    got = runs.merge_files(spark, Merge(), [one, two], out("merged.txt"))
+    assert (got.input_lines, open(got.output).read()) == (5, "b;1\na;2\nbad\n\nü;3\nA;2\n")
+    assert runs.compare_files(spark, Compare("both"), one, two, out("both.txt")) == {"only_a": 2, "only_b": 1, "both": 1}
+    assert open(out("both.txt")).read() == "a;2\n"
+    assert [open(p, "rb").read().decode("utf-16") for p in runs.split_file(spark, Split("lines", 1), two, out("parts"))] == ["ü;3\n", "A;2\n"]
+    for again in (lambda: runs.run(spark, Sort(), one, out("col.txt")), lambda: runs.merge_files(spark, Merge(), [one], out("col.txt"))):
+        with pytest.raises(FileExistsError):
+            again()
+    assert open(out("col.txt")).read() == "1\n2\n"
+
+
 def test_batch(spark, put, tmp_path):
     good, missing, other = put("a.txt", "apple\napple\n"), str(tmp_path / "none.txt"), put("b.txt", "apple pie\n")
     batch = Batch(FLOW, "_x")
