@@ -47,7 +47,7 @@ PIECE = 2.0
 #: Misses after which the table that completes bins is made anew.
 STALE = 16
 #: Pieces of one length that are numbered together: so many, or the square root of their number.
-BUCKET = 1_000
+BUCKET = 250
 
 
 # --- the plan, on the driver ---------------------------------------------------------
