@@ -528,6 +528,21 @@ def test_compression_bands(spark):
     assert {i: r["kept"] for i, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: False}
 
 
+def test_short_rests_do_not_decide():
+    import random
+
+    import zstandard
+
+    rng = random.Random(4)
+    compress = zstandard.ZstdCompressor(level=quality.ZSTD_LEVEL).compress
+    prose = " ".join("".join(rng.choice(["an", "er", "th", "on", "re", "st", "ing", "ou"]) for _ in range(rng.randint(1, 4))) for _ in range(4_000)).encode()
+    for full in (1, 2, 3):
+        for rest in (*range(1, 21), 511, 512, 513, 4095):
+            text = prose[: 4096 * full + rest]
+            chunks, bad, passes = quality.judge(text, compress)[1:]
+            assert (chunks, bad, passes) == (full + (rest >= 512), 0, True), (full, rest)
+
+
 # --- 10 warc
 
 
