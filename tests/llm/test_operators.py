@@ -543,6 +543,24 @@ def test_short_rests_do_not_decide():
             assert (chunks, bad, passes) == (full + (rest >= 512), 0, True), (full, rest)
 
 
+@pytest.mark.parametrize("size", [1024, 1279, 1280, 1535, 1536, 2047, 2048, 3071, 3072, 4095, 4096, 8192, 16384, 30000])
+def test_random_symbols_are_noise(size):
+    import random
+
+    import zstandard
+
+    rng = random.Random(size)
+    compress = zstandard.ZstdCompressor(level=quality.ZSTD_LEVEL).compress
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))]
+    if size >= 3072:  # shorter, hexadecimal cannot be told from prose
+        kinds += [lambda: f"{rng.getrandbits(32):08x}", lambda: f"{rng.getrandbits(16):04x}", lambda: f"{rng.getrandbits(8):02x}"]
+    for k, word in enumerate(kinds):
+        for _ in range(10):
+            text = " ".join(word() for _ in range(size // 2)).encode()[:size]
+            assert not quality.measure(text, compress)[-1], (k, size)
+
+
 # --- 10 warc
 
 
