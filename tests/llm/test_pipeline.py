@@ -3,7 +3,7 @@
 import collections
 
 import corpus_pipeline
-from test_operators import plain_components, plain_decontaminate, plain_fingerprint, plain_line_dedup
+from test_corpus_operators import plain_components, plain_decontaminate, plain_fingerprint, plain_line_dedup
 
 from lineloom.llm import quality
 
