@@ -9,40 +9,18 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import scratch, shared_dir
+from ..sources.scratch import clear, discard, remove, scratch, shared_dir, stash
 
-#: Rows that one Arrow slice holds at most while a Python stage works on it.
+#: Rows, and bytes of text, that one slice holds at most while a Python stage works on it; a longer text is alone.
 SLICE_ROWS = 512
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    The table outlives lost executors, unlike cached blocks.  It stays until its folder
-    is cleared, as checkpoints do; loops discard the tables that they have replaced.
-    """
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._scratch = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the table of ``stash``, which nothing is to read again."""
-    if path := getattr(df, "_scratch", None):
-        remove(df.sparkSession, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+SLICE_BYTES = 8 << 20
 
 
 def fresh(taken: list[str], base: str) -> str:
@@ -64,11 +42,23 @@ def _binary(batch_column: pa.Array) -> list:
     return batch_column.cast(pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_ROWS rows and SLICE_BYTES bytes in column ``text``, but one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    past = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = past[start] - sizes[start]
+        stop = int(np.searchsorted(past, before + SLICE_BYTES, side="right"))
+        stop = max(start + 1, min(stop, start + SLICE_ROWS, batch.num_rows))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _run(make, text, also, names, types, batches):
     work = make()
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            piece = batch.slice(start, SLICE_ROWS)
+        for piece in slices(batch, text):
             got = work(_binary(piece.column(text)), *[piece.column(i).to_pylist() for i in also])
             arrays = [piece.column(i) for i in range(piece.num_columns)]
             arrays += [pa.array(got[n], type=t) for n, t in zip(names, types, strict=True)]
@@ -101,4 +91,4 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return functools.reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
-__all__ = ["F", "T", "append_columns", "column", "discard", "documents", "fresh", "null_safe", "remove", "scratch", "shared_dir", "stash"]
+__all__ = ["F", "T", "append_columns", "clear", "column", "discard", "documents", "fresh", "null_safe", "remove", "scratch", "shared_dir", "slices", "stash"]
