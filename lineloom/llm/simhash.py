@@ -18,12 +18,25 @@ fingerprint is a guest of 61 anchors on average, of 2^24 in all.
 Only distinct fingerprints take part, so copies cost nothing, and a group of copies
 of any size is one row.  Links and components stay distributed.
 
+``near_duplicates`` links by these 2 bits alone.  ``keep_one`` links texts by the
+Jaccard similarity of their sets of five-word shingles, 0.8 or more, checked exactly.
+Texts so similar may differ in 10 of 64 bits, so its candidates come from 21 tables of
+anchors: 27 bits each, of a fingerprint of 192 bits in three orders, 23 of them in one
+Golay block with threshold 1 and 4 of them equal.  A pair of similarity 0.8 is a guest
+of its partner's home in some table with a probability of about 0.95, one of 0.85 with
+0.99.  Homes of one anchor are first linked to its least text, and then guests are
+compared with homes of other components only, so a group of near copies does not give
+all its pairs.
+
 Defined results
 * null, empty or wordless text: fingerprint 0, linked like any other;
 * fewer words than the shingle: the whole sequence is one shingle;
 * repeated rows: each gets its row; a null id is never the smallest unless a
   component has no other, then its component id is null;
-* text of any length is used whole, in blocks of ``BLOCK`` shingles.
+* text of any length is used whole, in blocks of ``BLOCK`` shingles;
+* by similarity, wordless texts are equal, and fewer than five words are one shingle;
+  of a component the row of the least id stays, null ids last, of these the least hash;
+  repeated rows are one.
 """
 
 from __future__ import annotations
@@ -36,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, column, fresh, null_safe, stash
+from .common import append_columns, column, discard, fresh, stash
 from .components import components
 
 SHINGLE = 3
@@ -44,38 +57,94 @@ SEED = 42
 THRESHOLD = 2
 BLOCK = 1 << 15
 
+#: Near duplicates by similarity of sets of shingles.
+SIMILARITY = 0.8
+SIMILAR_SHINGLE = 5
+#: Bits of the long fingerprint, the steps by which its three orders go through them, and bits of a table.
+LANES, STEPS, EXACT = 3, (1, 71, 115), 4
+SIMILAR_THRESHOLD = 1
+#: Candidates differ in so many of the first 64 bits at most; similar texts do in 7 or 8.
+SIMILAR_BITS = 17
+
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the Golay code.
 GENERATOR = 0b110001110101
 WIDTH, RADIUS = 23, 3
 
 
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()  # of ASCII letters and white space only
+
+
+def shingles(words: list[bytes], width: int):
+    """All shingles in order, repeats included, and how many."""
+    if len(words) <= width:
+        return iter([b" ".join(words)] if words else []), int(bool(words))
+    return map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)), len(words) - width + 1
+
+
+def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Other 64 bits of each shingle, by the splitmix64 rule; lane 0 is the hash itself."""
+    if not lane:
+        return hashes
+    with np.errstate(over="ignore"):
+        z = hashes + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def fingerprints(text: bytes | None, width: int = SHINGLE, lanes: int = 1) -> list[int]:
+    """Fingerprints of 64 bits each, as signed integers; the first is that of the contract."""
+    from xxhash import xxh64_intdigest
+
+    found, n = shingles(words_of(text), width)
+    if not n:
+        return [0] * lanes
+    hashes = np.fromiter((xxh64_intdigest(s, SEED) for s in found), dtype="<u8", count=n)
+    out = []
+    for lane in range(lanes):
+        ones = np.zeros(64, dtype=np.int64)
+        for start in range(0, n, BLOCK):
+            part = np.ascontiguousarray(_lane(hashes[start : start + BLOCK], lane)).view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]))
+    return out
+
+
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     """The 64 bits as a signed integer."""
+    return fingerprints(text, width)[0]
+
+
+class _Fingerprint:
+    """Work for append_columns: one column for each lane."""
+
+    def __init__(self, names: list[str], width: int):
+        self.names, self.width = names, width
+
+    def __call__(self):
+        def work(texts):
+            found = [fingerprints(t, self.width, len(self.names)) for t in texts]
+            return {name: [f[k] for f in found] for k, name in enumerate(self.names)}
+
+        return work
+
+
+def shingle_set(text: bytes | None, width: int) -> list[int]:
+    """The distinct hashes of the shingles, as signed integers."""
     from xxhash import xxh64_intdigest
 
-    words = (text or b"").lower().split()  # of ASCII letters and white space only
-    if not words:
-        return 0
-    if len(words) <= width:
-        shingles = iter([b" ".join(words)])
-        n = 1
-    else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
-        n = len(words) - width + 1
-    hashes = np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8", count=n)
-    ones = np.zeros(64, dtype=np.int64)
-    for start in range(0, n, BLOCK):
-        part = hashes[start : start + BLOCK].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    found, n = shingles(words_of(text), width)
+    hashes = np.fromiter((xxh64_intdigest(s, SEED) for s in found), dtype="<u8", count=n)
+    return np.unique(hashes.view("<i8")).tolist()
 
 
-class _Fingerprint:
-    def __init__(self, name: str, width: int):
-        self.name, self.width = name, width
+class _Sets:
+    def __init__(self, width: int):
+        self.width = width
 
     def __call__(self):
-        return lambda texts: {self.name: [fingerprint(t, self.width) for t in texts]}
+        return lambda texts: {"shingles": [shingle_set(t, self.width) for t in texts]}
 
 
 @functools.cache
@@ -150,29 +219,24 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(print, class, component) for every distinct fingerprint of rows (id, print).
-
-    The class is the least fingerprint of the component, the component its least id.
-    """
+    """(print, component) for every distinct fingerprint of rows (id, print); the component is its least id."""
     nodes = stash(rows.groupBy("print").agg(F.min("id").alias("first")), "prints")
-    linked = components(links(nodes))
-    linked = linked.withColumnRenamed("node", "print")
+    linked = components(links(nodes)).withColumnRenamed("node", "print")
     named = nodes.join(linked, "print")
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     named = named.join(least, "root").select("print", "root", "component")
-    alone = F.col("root").isNull()
-    named = nodes.join(named, "print", "left").select(
-        "print", F.coalesce("root", "print").alias("class"), F.when(alone, F.col("first")).otherwise(F.col("component")).alias("component")
-    )
+    named = nodes.join(named, "print", "left")
     # Written, so that Spark can split the fingerprint of a large group of copies where rows are joined with this.
-    return stash(named, "classes")
+    done = stash(named.select("print", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component")).alias("component")), "classes")
+    discard(nodes, linked)
+    return done
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """For every row ``id_col``, ``fingerprint`` (hexadecimal) and ``component_id``."""
     rows = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("body"))
     added = T.StructType([T.StructField("print", T.LongType())])
-    rows = stash(append_columns(rows, "body", added, _Fingerprint("print", width)).select("id", "print"), "simhash")
+    rows = stash(append_columns(rows, "body", added, _Fingerprint(["print"], width)).select("id", "print"), "simhash")
     named = rows.join(classes(rows), "print")
     return named.select(
         F.col("id").alias(id_col),
@@ -181,13 +245,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """One row of each component, that of the smallest id, with all columns of ``docs``."""
-    mark = fresh(docs.columns, "print")
-    added = T.StructType([T.StructField(mark, T.LongType())])
-    rows = stash(append_columns(docs, text_col, added, _Fingerprint(mark, width)), "simhash")
-    known = rows.select(column(rows, id_col).alias("id"), column(rows, mark).alias("print"))
-    named = known.join(classes(known), "print")
-    first = named.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("f"))
-    first = first.select(F.col("f.id").alias(id_col), F.col("f.print").alias(mark))
-    return rows.join(first, null_safe(rows, first, [id_col, mark]), "left_semi").dropDuplicates([id_col, mark]).select(*[column(rows, c) for c in docs.columns])
+# --- by similarity -------------------------------------------------------------------
+
+
+@functools.cache
+def _tables() -> list[np.ndarray]:
+    """The places of each table's bits in the long fingerprint."""
+    size, width = 64 * LANES, WIDTH + EXACT
+    return [np.arange(k * width, (k + 1) * width) * step % size for step in STEPS for k in range(size // width)]
+
+
+def table_anchors(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the fingerprint, key of table, equal bits and anchor); prints: one row of lanes for each fingerprint."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+    powers = np.int64(1) << np.arange(WIDTH + EXACT, dtype=np.int64)
+    index, keys = [], []
+    for table, places in enumerate(_tables()):
+        whole = bits[:, places] @ powers
+        word, equal = whole & ((1 << WIDTH) - 1), whole >> WIDTH
+        syndrome = _syndromes()[word]
+        for excess in range(most + 1):
+            start, count, errors = _errors()[excess]
+            n = count[syndrome]
+            at = np.repeat(np.arange(len(prints)), n)
+            k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            index.append(at)
+            keys.append((((table << EXACT) | equal[at]) << WIDTH) | (word[at] ^ errors[start[syndrome[at]] + k]))
+    return np.concatenate(index), np.concatenate(keys)
+
+
+def _deal_tables(most, batches):
+    for batch in batches:
+        names = batch.schema.names
+        whole = np.stack([batch.column(names.index(f"p{k}")).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(LANES)], axis=1)
+        for start in range(0, len(whole), 1024):
+            at, keys = table_anchors(whole[start : start + 1024], most)
+            rows = pa.array(at + start)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(names.index(n)).take(rows) for n in ("node", "p0", "root"))], names=["key", "node", "p0", "root"])
+
+
+def _dealt(nodes: DataFrame, most: int) -> DataFrame:
+    """(key, node, p0, root) from nodes (node, p0, p1, .., root)."""
+    return nodes.mapInArrow(functools.partial(_deal_tables, most), "key long, node long, p0 long, root long")
+
+
+def _near(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= SIMILAR_BITS
+
+
+def _name(id_):
+    """An id that equals itself even if it is null; whether it is has a column of its own."""
+    return F.coalesce(id_.cast("string"), F.lit("")).alias("name")
+
+
+def similar(edges: DataFrame, sources: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """The edges (a, b) whose texts are so similar; sources: (node, none, id) of one row for each node; rows: (none, id, th, body)."""
+    needed = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    needed = stash(sources.join(needed, "node").select(F.col("node").alias("th"), "none", _name(F.col("id"))), "endpoints")
+    texts = rows.withColumn("name", _name(F.col("id"))).join(needed, ["none", "name", "th"], "left_semi").select("th", "body")
+    added = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
+    # Of repeated rows one is enough; they meet before the shuffle.
+    sets = append_columns(texts, "body", added, _Sets(width)).groupBy("th").agg(F.first("shingles").alias("s"))
+    sets = stash(sets, "shingles")
+    both = edges.join(sets.select(F.col("th").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("th").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - common
+    done = stash(both.where((union == 0) | (common / union >= least)).select("a", "b"), "similar")
+    discard(needed, sets)
+    return done
+
+
+def similarity_classes(rows: DataFrame, width: int = SIMILAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """(th, root) for every distinct text of rows (none, id, th, body); th is the hash of the text, none says that the id is null."""
+    added = T.StructType([T.StructField(f"p{k}", T.LongType()) for k in range(LANES)])
+    printed = append_columns(rows, "body", added, _Fingerprint(added.names, SHINGLE)).drop("body")
+    lanes = [F.first(name).alias(name) for name in added.names]
+    nodes = stash(printed.groupBy(F.col("th").alias("node")).agg(F.min(F.struct("none", "id")).alias("f"), *lanes).select("node", "f.*", *added.names), "nodes")
+    plain = nodes.select("node", *added.names, F.col("node").alias("root"))
+    homes = _dealt(plain, 0)
+    stars = homes.groupBy("key").agg(F.min(F.struct("node", "p0")).alias("star"), F.count("*").alias("n")).where("n > 1").select("key", "star.node", "star.p0")
+    # Written, so that Spark can split a hot anchor in the join.
+    stars = stash(stars.toDF("key", "b", "q"), "stars")
+    first = stash(homes.join(stars, "key").where((F.col("node") != F.col("b")) & _near("p0", "q")).select(F.col("node").alias("a"), "b").distinct(), "candidates")
+    found = similar(first, nodes, rows, width, least)
+    linked = stash(components(found), "linked")
+    rooted = plain.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = stash(rooted, "rooted")
+    one = _dealt(rooted, 0).toDF("key", "a", "pa", "ra")
+    two = _dealt(rooted, SIMILAR_THRESHOLD).toDF("key", "b", "pb", "rb")
+    pairs = one.hint("merge").join(two, (one["key"] == two["key"]) & (F.col("ra") != F.col("rb")) & _near("pa", "pb"))
+    second = stash(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    more = similar(second, nodes, rows, width, least)
+    roots = stash(components(found.union(more)), "roots")
+    done = nodes.join(roots, "node", "left").select(F.col("node").alias("th"), "none", "id", F.coalesce("root", "node").alias("root"))
+    done = stash(done, "classes")
+    discard(nodes, stars, first, found, linked, rooted, second, more, roots)
+    return done
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """One row of each component of similar texts, that of the smallest id, with all columns of ``docs``."""
+    id_, text = column(docs, id_col), column(docs, text_col)
+    rows = docs.select(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("th"), text.alias("body"))
+    found = similarity_classes(rows, width, least)
+    first = found.groupBy("root").agg(F.min(F.struct("none", "id", "th")).alias("f")).select("f.*")
+    marks = [fresh(docs.columns, m) for m in ("none", "name", "hash")]
+    first = stash(first.select("none", _name(F.col("id")), "th").toDF(*marks), "kept")
+    keyed = docs.select("*", id_.isNull().alias(marks[0]), _name(id_).alias(marks[1]), F.xxhash64(text).alias(marks[2]))
+    # The same keys for both, so the texts are moved once.
+    kept = keyed.join(first, marks, "left_semi").dropDuplicates(marks)
+    return kept.select(*[column(kept, c) for c in docs.columns])
