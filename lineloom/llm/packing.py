@@ -6,12 +6,19 @@ alone comes to the driver.  There:
 
 1. The configuration program - as few bins as possible that together hold the
    histogram, each bin a multiset of lengths within the capacity - is solved by
-   multiplicative weights.  Each round prices lengths by their weights and covers the
-   histogram with the configurations that knapsack tables find best at these prices;
-   a length gains weight by the room that its bins left empty.
-2. The mean of the rounds is rounded down, never above what is left of a length.
-3. What is left, less than one bin for each configuration, is packed by best fit:
-   longest first, each bin completed by the fullest knapsack of what remains.
+   multiplicative weights (``program``).  In round t of T every length is to be covered
+   to t/T of its count.  A length is worth its tokens times exp(-rate * lead), where the
+   lead is how far its cover is ahead of that schedule; a knapsack table prices all
+   configurations at once, and those that are worth most for each length that is behind
+   are taken, in fractions of bins.  As T grows, leads shrink, and the cover comes to
+   the optimum.  The worths divided by the dearest configuration are a solution of the
+   dual program, so each round gives a bound that no packing can beat.
+2. The fractions are rounded by their running sum, never above what is left.
+3. What is left is packed by best fit: longest first, each bin completed by the fullest
+   knapsack of what remains.
+
+Best fit of everything, and again with lengths dearer that its bins hold badly, are
+plans too; the one with the fewest sequences is taken, so none is worse than best fit.
 
 The plan says which places of which sequences hold pieces number i to j of a length.
 Pieces are numbered by length in two levels, (length, bucket) and offsets of buckets,
@@ -30,19 +37,25 @@ from __future__ import annotations
 import functools
 import math
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, _binary, column, stash
+from .common import _binary, column, slices, stash
 from .tokens import vocabulary, word_bpe
 
 CAPACITY = 2048
 END = 0
-ROUNDS = 4
+#: Rounds of the program, and how much a lead of a whole count lowers the worth of a length.
+ROUNDS = 200
 RATE = 0.2
+#: Rounds of best fit with lengths dearer that are packed badly, and by how much.
+AGAIN = 4
+DEARER = 0.2
+#: The worth of a piece falls short of its tokens by this much: of equally full bins that of fewer pieces is better.
 PIECE = 2.0
 #: Misses after which the table that completes bins is made anew.
 STALE = 16
@@ -54,17 +67,23 @@ BUCKET = 250
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """(best value, index of the last length taken or -1) for each room from 0; lengths ascend."""
-    best = np.zeros(room + 1)
-    last = np.full(room + 1, -1, dtype=np.int64)
-    fits = np.searchsorted(lengths, np.arange(room + 1), side="right")
+    """(best value, index of the last length taken or -1) for each room from 0; lengths ascend.
+
+    -2 as the last length: as good as with one place less.
+    """
+    best, last = np.zeros(room + 1), np.full(room + 1, -1, dtype=np.int64)
+    dense = np.full(room + 1, -np.inf)
+    fits = lengths <= room
+    dense[lengths[fits]] = prices[fits]
+    index = np.full(room + 1, -1, dtype=np.int64)
+    index[lengths[fits]] = np.flatnonzero(fits)
     for c in range(1, room + 1):
-        best[c], last[c] = best[c - 1], last[c - 1] if last[c - 1] < 0 else -2
-        if k := fits[c]:
-            values = best[c - lengths[:k]] + prices[:k]
-            j = int(values.argmax())
-            if values[j] > best[c]:
-                best[c], last[c] = values[j], j
+        values = best[c - 1 :: -1][:c] + dense[1 : c + 1]
+        j = int(values.argmax())
+        if values[j] > best[c - 1]:
+            best[c], last[c] = values[j], index[j + 1]
+        else:
+            best[c], last[c] = best[c - 1], -1 if last[c - 1] == -1 else -2
     return best, last
 
 
@@ -120,47 +139,106 @@ def filled(lengths: np.ndarray, left: np.ndarray, prices: np.ndarray, capacity:
     return out
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float) -> tuple[dict[tuple, float], np.ndarray]:
-    """An approximate solution of the configuration program, configuration to bins, and the weights.
-
-    Each round covers all counts with configurations priced by the weights; a length
-    gains weight by the room that its bins left empty.  The rounds' mean is returned.
-    """
-    solution: dict[tuple, float] = {}
-    # A little less for each piece: of equally full bins that of fewer pieces is better, small ones fit later.
-    weights = lengths - PIECE * np.minimum(1, lengths / (PIECE + 1))
-    for _ in range(rounds):
-        loss = np.zeros(len(lengths))
-        for config, number, room in filled(lengths, counts, weights, capacity):
-            solution[config] = solution.get(config, 0.0) + number / rounds
+def worth(lengths: np.ndarray) -> np.ndarray:
+    """The tokens of each length, a little less for each piece."""
+    return lengths - PIECE * np.minimum(1, lengths / (PIECE + 1))
+
+
+class Fractions(NamedTuple):
+    """Columns (top length, completion, bins); all bins; the best bound of the dual."""
+
+    columns: list[tuple[int, dict[int, int], float]]
+    value: float
+    bound: float
+
+
+def program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> Fractions:
+    """A fractional solution of the configuration program by multiplicative weights; lengths go by their index."""
+    base, cover = worth(lengths), np.zeros(len(lengths))
+    columns: list[tuple[int, dict[int, int], float]] = []
+    value, bound = 0.0, float((lengths * counts).sum() / capacity)
+    for t in range(1, rounds + 1):
+        prices = base * np.exp(-rate * (cover / counts - (t - 1) / rounds))
+        best, last = knapsack(lengths, prices, capacity)
+        bound = max(bound, float((counts * prices).sum() / best[capacity]))
+        known: dict[int, dict[int, int]] = {}
+        for i in range(len(lengths) - 1, -1, -1):
+            behind = counts[i] * t / rounds - cover[i]
+            if behind <= 1e-9:
+                continue
+            room = capacity - int(lengths[i])
+            if room not in known:
+                known[room] = taken(lengths, last, room)
+            bins = behind / (1 + known[room].get(i, 0))
+            cover[i] += bins
+            for j, n in known[room].items():
+                cover[j] += bins * n
+            columns.append((i, known[room], bins))
+            value += bins
+    return Fractions(columns, value, bound)
+
+
+Bins = list[tuple[tuple, int]]
+
+
+def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, columns: list[tuple[int, dict[int, int], float]]) -> Bins:
+    """Whole bins (configuration, number) that hold every piece exactly once, by the running sum of the columns."""
+    left, bins, total = counts.astype(np.int64), [], 0.0
+    for i, completion, x in columns:
+        number = math.floor(total + x + 0.5) - math.floor(total + 0.5)
+        total += x
+        if number:
+            config = completion | {i: completion.get(i, 0) + 1}
+            number = min(number, *(int(left[j]) // n for j, n in config.items()))
+            if number:
+                for j, n in config.items():
+                    left[j] -= number * n
+                bins.append((tuple(sorted(config.items(), reverse=True)), number))
+    return bins + [(config, number) for config, number, _ in filled(lengths, left, worth(lengths), capacity)]
+
+
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, least: int, again: int = AGAIN) -> Bins:
+    """The best of some rounds of best fit, the first one with plain prices; no more rounds if one needs ``least`` bins."""
+    prices, best = worth(lengths).astype(float), None
+    for _ in range(1 + again):
+        found, loss = filled(lengths, counts, prices, capacity), np.zeros(len(lengths))
+        for config, number, room in found:
             for j, n in config:
                 loss[j] += number * n * room / capacity
-        weights = weights * np.exp(rate * loss / counts)
-    return solution, weights
-
-
-def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, solution: dict[tuple, float], prices: np.ndarray) -> list[tuple[tuple, int]]:
-    """Whole bins (configuration, number) that hold every piece exactly once."""
-    left = counts.astype(np.int64).copy()
-    bins: list[tuple[tuple, int]] = []
-    fill = lambda c: sum(int(lengths[j]) * n for j, n in c)
-    for config, x in sorted(solution.items(), key=lambda e: (-fill(e[0]), -e[1], e[0])):
-        number = min([math.floor(x + 1e-9), *(int(left[j]) // n for j, n in config)])
-        if number > 0:
-            for j, n in config:
-                left[j] -= number * n
-            bins.append((config, number))
-    bins += [(config, number) for config, number, _ in filled(lengths, left, prices, capacity)]
-    return bins
+        prices = prices * np.exp(DEARER * loss / counts)
+        bins = [(config, number) for config, number, _ in found]
+        if best is None or size(bins) < size(best):
+            best = bins
+        if size(best) <= least:
+            break
+    return best
+
+
+def size(bins: Bins) -> int:
+    return sum(number for _, number in bins)
+
+
+class Plan(NamedTuple):
+    """Rows sorted by length and first piece: where those pieces of the length go; sequences, and how few there can be at least."""
+
+    table: dict[str, np.ndarray]
+    sequences: int
+    bound: int
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE) -> dict[str, np.ndarray]:
-    """Rows sorted by length and first piece: where those pieces of the length go."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE, again: int = AGAIN) -> Plan:
+    """The plan of the fewest sequences for so many pieces of each length; ``rounds`` 0 leaves the program out."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
     rows: list[tuple] = []
+    bins: Bins = []
+    least = 0
     if len(lengths):
-        bins = rounded(lengths, counts, capacity, *fractional(lengths, counts, capacity, rounds, rate))
+        found = program(lengths, counts, capacity, rounds, rate)
+        least = math.ceil(found.bound - 1e-6)
+        bins = best_fit(lengths, counts, capacity, least, again)
+        if rounds and size(bins) > least:
+            bins = min(bins, rounded(lengths, counts, capacity, found.columns), key=size)
         used, sequence = np.zeros(len(lengths), dtype=np.int64), 0
         for config, number in bins:
             offset = 0
@@ -171,7 +249,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
             sequence += number
     names = ("length", "first", "each", "sequence", "offset")
     table = np.array(sorted(rows), dtype=np.int64).reshape(-1, len(names))
-    return dict(zip(names, table.T, strict=True))
+    return Plan(dict(zip(names, table.T, strict=True)), size(bins), least)
 
 
 # --- the pieces, on the executors ----------------------------------------------------
@@ -181,8 +259,7 @@ def _pieces(path, capacity, batches):
     tokenizer = word_bpe(path)
     end = END.to_bytes(4, "little")
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(start, SLICE_ROWS)
+        for part in slices(batch, 1):
             row, piece, begin, length, crc = [], [], [], [], []
             for i, text in enumerate(_binary(part.column(1))):
                 ids = tokenizer.ids(text or b"") + end
@@ -221,16 +298,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     kind = rows.schema["id"].dataType.simpleString()
     path = tokenizer or vocabulary("word_bpe_49k.json")
     schema = f"id {kind}, piece int, start long, length long, crc long"
-    pieces = stash(rows.mapInArrow(functools.partial(_pieces, path, capacity), schema), "pieces")
+    pieces = rows.mapInArrow(functools.partial(_pieces, path, capacity), schema)
+    # A number for each row, so that equal ones can be told apart; it is written, so it stays.
+    pieces = stash(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # one row for each length
-    shared = spark.sparkContext.broadcast(plan(histogram, capacity, rounds))
+    shared = spark.sparkContext.broadcast(plan(histogram, capacity, rounds).table)
     # Frequent lengths are numbered in as many buckets as they need.
     buckets = spark.createDataFrame([(n, 1 + c // max(BUCKET, math.isqrt(c))) for n, c in histogram.items()], "length long, buckets long")
-    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "crc"), "buckets"))
+    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), "buckets"))
     sizes = dealt.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("id", "piece", "crc", "start")
+    own = Window.partitionBy("length", "bucket").orderBy("row")
     numbered = dealt.withColumn("n", F.row_number().over(own)).join(offsets, ["length", "bucket"])
     numbered = numbered.select("id", "piece", "start", "length", "crc", (F.col("before") + F.col("n") - 1).alias("number"))
     placed = numbered.mapInArrow(functools.partial(_place, shared), f"{schema}, sequence long, offset long")
