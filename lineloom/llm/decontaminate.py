@@ -7,19 +7,23 @@ the words it covers, and these are mapped to places in the original text.
 
 The items are broadcast, and each Python worker builds the automaton once.  That is
 bounded by ``max_bytes`` of item text: a larger benchmark is taken in blocks of whole
-items, one pass for each, and what the passes find is merged for each document.
+items, with a scan of the texts for each.  A scan writes nothing but what it finds: the
+document's id and hash, the words covered and the items.  These are merged for each
+document, and the texts are read once more to place them.
 
 Defined results
 * null text of a document: no words, never contaminated;
 * null or empty item: no window; an item of fewer words than the window is one
   window; items of equal text are counted each; rows of the same id are one item;
-  a null id is listed as the empty string;
+  a null id is an item of its own, listed as the empty string;
+* repeated documents each get their row; a null id of a document is kept;
 * a window that occurs in several items counts for each of them;
 * text of any length is scanned whole.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, column, fresh, stash
+from .common import append_columns, column, discard, fresh, stash
 
 WINDOW = 13
 #: Benchmark text that one automaton holds; about 40 times as many bytes of memory.
@@ -106,7 +110,7 @@ def ranges(pairs, n: int) -> list[int]:
 
 def summary(text: bytes | None, n_words: int, cover: list[int], owners: set[str]) -> tuple:
     """The values of RESULT for one text."""
-    items = sorted(owners)
+    items = sorted(o[1:] for o in owners)
     n_hit = sum(cover[1::2]) - sum(cover[::2])
     spans = []
     if cover:
@@ -155,35 +159,37 @@ class _Scanner:
 
 
 class _Merger:
-    def __init__(self, wanted: dict[str, str], parts: int):
-        self.wanted, self.parts = wanted, parts
+    """The result from what the scans of all blocks have found."""
+
+    def __init__(self, wanted: dict[str, str]):
+        self.wanted = wanted
 
     def __call__(self):
-        def work(texts, *more):
+        def work(texts, covers, owners):
             got = []
-            for k, text in enumerate(texts):
+            for text, cover, own in zip(texts, covers, owners, strict=True):
                 n = len(words_of(text))
-                cover = ranges([x for c in more[: self.parts] for x in c[k]], n)
-                got.append(summary(text, n, cover, {x for o in more[self.parts :] for x in o[k]}))
+                got.append(summary(text, n, ranges(cover or [], n), set(own or [])))
             return {self.wanted[n]: [g[i] for g in got] for i, n in enumerate(RESULT.names) if n in self.wanted}
 
         return work
 
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, most: int):
-    """The items in blocks of at most ``most`` bytes of text; the driver holds one block at a time."""
-    rows = benchmark.select(column(benchmark, item_id).cast("string").alias("i"), column(benchmark, item_text).cast("binary").alias("t"))
+    """The items (mark and id, text) in blocks of at most ``most`` bytes of text; the driver holds one block at a time."""
+    name = F.coalesce(F.concat(F.lit("="), column(benchmark, item_id).cast("string")), F.lit("-"))
+    rows = benchmark.select(name.alias("i"), column(benchmark, item_text).cast("binary").alias("t"))
     block, size = [], 0
     for r in rows.where(F.col("t").isNotNull()).distinct().sort("i", "t").toLocalIterator():
         if block and size + len(r.t) > most:
             yield block
             block, size = [], 0
-        block.append((r.i or "", bytes(r.t)))
+        block.append((r.i, bytes(r.t)))
         size += len(r.t)
     yield block
 
 
-def _apply(rows: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str, window: int, most: int, wanted: dict[str, str]) -> DataFrame:
+def _apply(rows: DataFrame, id_col: str, text: str, benchmark: DataFrame, item_id: str, item_text: str, window: int, most: int, wanted: dict[str, str]) -> DataFrame:
     spark, blocks = rows.sparkSession, _blocks(benchmark, item_id, item_text, most)
     added = T.StructType([T.StructField(wanted[f.name], f.dataType) for f in RESULT.fields if f.name in wanted])
     block = next(blocks)
@@ -191,16 +197,23 @@ def _apply(rows: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_
     if later is None:
         return append_columns(rows, text, added, _Scanner(spark, block, window, wanted))
     part = T.StructType([T.StructField("cover", T.ArrayType(T.LongType())), T.StructField("owners", T.ArrayType(T.StringType()))])
-    taken, covers, owners, names = rows, [], [], list(rows.columns)
+    key = lambda df: (column(df, id_col).isNull(), F.coalesce(column(df, id_col).cast("string"), F.lit("")), F.xxhash64(column(df, text)))
+    plain = rows.select(*[k.alias(n) for k, n in zip(key(rows), ("none", "name", "th"), strict=True)], column(rows, text).alias("body"))
+    found = []
     while block is not None:
-        found = append_columns(taken, text, part, _Scanner(spark, block, window, None))
-        covers.append(fresh(names, f"cover{len(covers)}"))
-        owners.append(fresh(names, f"owners{len(owners)}"))
-        names += [covers[-1], owners[-1]]
-        # Each pass ends before the next begins, so that a task holds one automaton.
-        taken = stash(found.toDF(*names), "decontaminate")
+        hits = append_columns(plain, "body", part, _Scanner(spark, block, window, None)).where("size(owners) > 0")
+        # Each scan ends before the next begins, so that a task holds one automaton.
+        found.append(stash(hits.drop("body"), "decontaminate"))
         block, later = later, next(blocks, None)
-    merged = append_columns(taken, text, added, _Merger(wanted, len(covers)), also=(*covers, *owners))
+    marks = [fresh(rows.columns, m) for m in ("none", "name", "th", "cover", "owners")]
+    # Sets: repeated rows have found the same.
+    one = functools.reduce(DataFrame.union, found).groupBy("none", "name", "th")
+    one = one.agg(F.flatten(F.collect_set("cover")), F.array_distinct(F.flatten(F.collect_set("owners"))))
+    one = stash(one.toDF(*marks), "decontaminate")
+    discard(*found)
+    keyed = rows.select("*", *[k.alias(m) for k, m in zip(key(rows), marks, strict=False)])
+    joined = keyed.join(one, marks[:3], "left").select(*[column(keyed, c) for c in rows.columns], *marks[3:])
+    merged = append_columns(joined, text, added, _Merger(wanted), also=(marks[3], marks[4]))
     return merged.select(*[column(merged, c) for c in rows.columns], *[column(merged, c) for c in added.names])
 
 
@@ -219,12 +232,12 @@ def decontaminate(
     ``spans`` are the contaminated stretches of the original text, in characters.
     """
     rows = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("body"))
-    found = _apply(rows, "body", benchmark, item_id, item_text, window, max_bytes, {n: n for n in RESULT.names})
+    found = _apply(rows, "id", "body", benchmark, item_id, item_text, window, max_bytes, {n: n for n in RESULT.names})
     return found.select(found["id"].alias(id_col), *RESULT.names)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     mark = fresh(docs.columns, "contaminated")
-    marked = _apply(docs, text_col, benchmark, "item_id", "text", window, max_bytes, {"contaminated": mark})
+    marked = _apply(docs, id_col, text_col, benchmark, "item_id", "text", window, max_bytes, {"contaminated": mark})
     return marked.where(~column(marked, mark)).select(*[column(marked, c) for c in docs.columns])
