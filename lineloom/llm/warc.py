@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, stash
+from .common import SLICE_BYTES, column, stash
 
 # Headers that an answer of 304 does not update.
 KEPT_HEADERS = (
@@ -98,8 +98,12 @@ def resolve(records: DataFrame) -> DataFrame:
     found = line.withColumn("within", within).join(days, ["address", "day"]).select("address", "at", F.coalesce("within", "carried").alias("found"))
     found = stash(found.where("found IS NOT NULL"), "asof")
     known = revisits.join(found, ["address", "at"], "left").select("record_id", "address", "news", "found.response_at", "found.response_id")
-    stored = full.select(F.col("address").alias("a"), F.col("at").alias("t"), F.col("record_id").alias("i"), F.col("headers").alias("stored"), "body").dropDuplicates(["a", "t", "i"])
-    known = known.join(stored, (F.col("address") == F.col("a")) & (F.col("response_at") == F.col("t")) & (F.col("response_id") == F.col("i")), "left")
+    # First the headers alone, which tell what is resolved; then the bodies of that.
+    keys, needed = ["a", "t", "i"], found.select(F.col("address").alias("a"), F.col("found.response_at").alias("t"), F.col("found.response_id").alias("i")).distinct()
+    full = full.select(F.col("address").alias("a"), F.col("at").alias("t"), F.col("record_id").alias("i"), F.col("headers").alias("stored"), "body")
+    stored = full.select(*keys, "stored").join(stash(needed, "needed"), keys, "left_semi").dropDuplicates(keys)
+    same = (F.col("address") == F.col("a")) & (F.col("response_at") == F.col("t")) & (F.col("response_id") == F.col("i"))
+    known = known.join(stored, same, "left").drop(*keys)
     tags = (header(F.col("news"), "etag"), header(F.col("stored"), "etag"))
     dates = (header(F.col("news"), "last-modified"), header(F.col("stored"), "last-modified"))
     differs = (F.coalesce(~_same_tag(*tags), F.lit(False))) | F.coalesce(dates[0] != dates[1], F.lit(False))
@@ -113,14 +117,17 @@ def resolve(records: DataFrame) -> DataFrame:
     )
     known = known.withColumn("resolution", resolution)
     done = F.col("resolution") == "resolved"
-    return known.select(
+    known = stash(known.select("record_id", "address", "resolution", "response_id", "response_at", F.when(done, merged(F.col("stored"), F.col("news"))).alias("headers")), "resolved")
+    wanted = stash(known.where(done).select(F.col("address").alias("a"), F.col("response_at").alias("t"), F.col("response_id").alias("i")).distinct(), "needed")
+    bodies = full.select(*keys, "body").join(wanted, keys, "left_semi").dropDuplicates(keys)
+    return known.join(bodies, same & done, "left").select(
         "record_id",
         "address",
         "resolution",
         "response_id",
         "response_at",
-        F.when(done, merged(F.col("stored"), F.col("news"))).alias("headers"),
-        F.when(done, F.col("body")).alias("body"),
+        "headers",
+        "body",
     )
 
 
@@ -139,56 +146,104 @@ def _lines(stream: io.BufferedIOBase) -> Iterator[tuple[str, str]]:
         yield name, value
 
 
+def _record(stream: io.BufferedIOBase) -> tuple[dict | None, int] | None:
+    """The next record, or None in its place if it is neither a response nor a revisit, and how many bytes it lacks; None at the end."""
+    while line := stream.readline():
+        if line.startswith(b"WARC/"):
+            break
+    else:
+        return None  # only empty lines were left
+    fields = {n.lower(): v for n, v in _lines(stream)}
+    size = int(fields.get("content-length", 0))
+    block = stream.read(size)
+    kind = fields.get("warc-type")
+    if kind == "revisit" and "not-modified" not in fields.get("warc-profile", ""):
+        kind = "revisit-other"
+    if kind not in ("response", "revisit", "revisit-other"):
+        return None, size - len(block)
+    http = io.BytesIO(block)
+    status = http.readline().split() if block.startswith(b"HTTP/") else []
+    headers = [{"name": n, "value": v} for n, v in _lines(http)] if status else None
+    code = status[1].decode() if len(status) > 1 and status[1].isdigit() else None
+    found = {
+        "record_id": fields.get("warc-record-id"),
+        "kind": kind,
+        "url": fields.get("warc-target-uri", "").strip("<>") or None,
+        "at": fields.get("warc-date"),
+        "status": None if code is None else int(code),
+        "headers": headers,
+        "body": http.read() if status and kind == "response" else None,
+    }
+    return found, size - len(block)
+
+
 def records(data: bytes) -> Iterator[dict]:
     """The responses and revisits of a WARC file, plain or in gzip members; others are passed over."""
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue  # the empty lines after a record
-        fields = {n.lower(): v for n, v in _lines(stream)}
-        block = stream.read(int(fields.get("content-length", 0)))
-        kind = fields.get("warc-type")
-        if kind == "revisit" and "not-modified" not in fields.get("warc-profile", ""):
-            kind = "revisit-other"
-        if kind not in ("response", "revisit", "revisit-other"):
-            continue
-        http = io.BytesIO(block)
-        status = http.readline().split() if block.startswith(b"HTTP/") else []
-        headers = [{"name": n, "value": v} for n, v in _lines(http)] if status else None
-        code = status[1].decode() if len(status) > 1 and status[1].isdigit() else None
-        yield {
-            "record_id": fields.get("warc-record-id"),
-            "kind": kind,
-            "url": fields.get("warc-target-uri", "").strip("<>") or None,
-            "at": fields.get("warc-date"),
-            "status": None if code is None else int(code),
-            "headers": headers,
-            "body": http.read().decode("utf-8", "replace") if status and kind == "response" else None,
-        }
+    while (found := _record(stream)) is not None:
+        if found[0] is not None:
+            yield found[0]
 
 
 _RECORD = pa.schema(
     [("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("at", pa.string()), ("status", pa.int32())]
-    + [("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("body", pa.string())]
+    + [("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("body", pa.binary())]
 )
+#: Between records; a body may hold it, which its length tells.
+_BETWEEN = b"\r\n\r\nWARC/"
+
+
+def _blocks(found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most 256 records or some 8 MB of bodies."""
+    block, size = [], 0
+    for record in found:
+        block.append(record)
+        size += len(record["body"] or b"")
+        if len(block) == 256 or size > SLICE_BYTES:
+            yield pa.RecordBatch.from_pylist(block, schema=_RECORD)
+            block, size = [], 0
+    yield pa.RecordBatch.from_pylist(block, schema=_RECORD)
 
 
-def _read(batches):
+def _read_whole(batches):
     for batch in batches:
         for data in batch.column(0):
-            block: list[dict] = []
-            for record in records(data.as_py()):
-                block.append(record)
-                if len(block) == 256:
-                    yield pa.RecordBatch.from_pylist(block, schema=_RECORD)
-                    block = []
-            yield pa.RecordBatch.from_pylist(block, schema=_RECORD)
+            yield from _blocks(records(data.as_py()))
+
+
+def _joined(batches) -> Iterator[dict]:
+    """Records from what lies between separators, in order: (bytes, file, whether its split is the file's last)."""
+    open_, at, last = b"", None, True
+    for batch in batches:
+        for data, file, final in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if open_ and file != at:
+                yield from records(open_)  # the file before ends inside a record
+                open_ = b""
+            start = data if data.startswith(b"WARC/") else b"WARC/" + data
+            whole, at, last = open_ + b"\r\n\r\n" + start if open_ else start, file, final
+            found = _record(io.BytesIO(whole))
+            open_ = whole if found is not None and found[1] > 0 else b""
+            if not open_ and found is not None and found[0] is not None:
+                yield found[0]
+    if open_:
+        if not last:
+            raise ValueError(f"a record of {at} goes on in the next split; raise spark.sql.files.maxPartitionBytes")
+        yield from records(open_)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files for ``resolve``; one file is read in one task, in blocks of records."""
-    schema = "record_id string, kind string, url string, at string, status int, headers array<struct<name:string,value:string>>, body string"
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, schema)
+    """Records of WARC files for ``resolve``; bodies are bytes.
+
+    Plain files are read in splits, by records.  A file whose name ends in z (.gz) is one
+    gzip stream, which can't be split: a task holds the packed bytes, 2 GB at most, and
+    a block of records.
+    """
+    schema = "record_id string, kind string, url string, at string, status int, headers array<struct<name:string,value:string>>, body binary"
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*z").load(path).select("content").mapInArrow(_read_whole, schema)
+    last = F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")
+    plain = spark.read.option("lineSep", _BETWEEN.decode()).option("pathGlobFilter", "*[^z]").text(path)
+    plain = plain.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), last.alias("last"))
+    found = plain.mapInArrow(lambda batches: _blocks(_joined(batches)), schema).union(packed)
     return found.withColumn("at", F.try_to_timestamp("at"))
 
 
