@@ -1,6 +1,6 @@
 """Line dedup by a suffix array over line ids, in DataFrame operations only.
 
-Every line gets an id, in the order of a 128-bit digest.  Lines that occur once in
+Every line gets an id, in the order of two digests (64 bits for the order, MD5 to tell lines apart).  Lines that occur once in
 the corpus cannot lie in a repeated run, so they cut the documents into segments;
 only segments go on.  Distributed prefix doubling ranks the suffixes of all segments
 by their first 1, 2, 4, ... lines: the next rank of a suffix is the pair of its rank
@@ -12,9 +12,17 @@ A run of w lines, 2^k <= w < 2^(k+1), is named by the ranks at depth k of its fi
 suffix and of the one that ends with it, so runs of equal name are one interval of
 the array with a common prefix of w lines.  A repeated run is one of ``MIN_WORDS``
 words or more; of each interval all but the first occurrence, by (id, position), are
-later copies.  It is enough to look at runs that reach so many words and would not
-with a line less at their end, or at their begin: the maximal repeated runs of a
-document are the unions of these, and doubling stops at the longest of them.
+later copies.
+
+Only intervals of shortest runs are formed: runs that have words enough and would not
+with a line less at their end, or at their begin.  Nothing is lost by that.  Let [a, z] be
+a later copy of some run, with words enough, and x a line of it.  Let s be the last line
+of [a, x] from which the shortest run ends within z; there is one, as the run from a does.
+If that run reaches x, x is in it.  If not, s < x, and [s + 1, z] has too few words; so the
+shortest run that ends at z begins at s or before, but not before a, and x is in that.
+Either run is part of [a, z], so it is a later copy, too.  And each shortest run is a run.
+So the same lines go, the maximal repeated runs are unions of the shortest, and doubling
+stops at the longest of these.
 
 Names are given in two levels (a class, a bucket of it), so that a class which holds
 a third of all suffixes is not gathered in a task; the join of suffixes with names
@@ -34,7 +42,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, fresh, stash
+from .common import column, discard, fresh, stash
 
 #: The least words of a repeated run.  Words of a line: its blanks, and one more.
 MIN_WORDS = 50
@@ -56,20 +64,20 @@ def half_bits(n: int) -> int:
     return min(MOST_BITS, max(4, n.bit_length() // 2))
 
 
-def line_ids(lines: DataFrame) -> DataFrame:
-    """(a, b, r0): lines that occur more than once and the suffixes that begin with lesser lines, plus 1."""
+def line_ids(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, r0), and the table that it is read from: lines that occur more than once and the suffixes that begin with lesser lines, plus 1."""
     counted = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-    counted = stash(counted, "line-ids")
+    counted = counted_ = stash(counted, "line-ids")
     # Digests are even, so their leading bits are even buckets, in order.
     counted = counted.withColumn("bucket", F.shiftright("a", 64 - half_bits(counted.count())))
     buckets = counted.groupBy("bucket").agg(F.sum("n").alias("n"))
     buckets = buckets.select("bucket", F.lit(1).alias("one"), "n").withColumn("base", _below(["bucket"], ["one"])).select("bucket", "base")
     within = counted.withColumn("within", _below(["a", "b"], ["bucket"]))
-    return within.join(buckets, "bucket").select("a", "b", (F.col("base") + F.col("within") + 1).alias("r0"))
+    return within.join(buckets, "bucket").select("a", "b", (F.col("base") + F.col("within") + 1).alias("r0")), counted_
 
 
-def double(suffixes: DataFrame, k: int, bits: int) -> DataFrame:
-    """``suffixes`` with rank r(k+1), by 2^(k+1) lines, from r(k); a bucket spans 2^bits ranks."""
+def double(suffixes: DataFrame, k: int, bits: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """``suffixes`` with rank r(k+1), by 2^(k+1) lines, from r(k), and the tables that it is read from; a bucket spans 2^bits ranks."""
     now, after = f"r{k}", f"r{k + 1}"
     ahead = F.lead(now, 1 << k).over(Window.partitionBy(*_SEGMENT).orderBy("pos"))
     paired = stash(suffixes.withColumn("second", F.coalesce(ahead, F.lit(0))), "suffixes")
@@ -79,7 +87,7 @@ def double(suffixes: DataFrame, k: int, bits: int) -> DataFrame:
     buckets = buckets.withColumn("base", _below(["bucket"], [now])).select(now, "bucket", "base")
     named = pairs.withColumn("within", _below(["second"], [now, "bucket"])).join(buckets, [now, "bucket"])
     named = named.select(now, "second", (F.col(now) + F.col("base") + F.col("within")).alias(after))
-    return paired.join(named, [now, "second"]).drop("second")
+    return paired.join(named, [now, "second"]).drop("second"), (paired, pairs)
 
 
 def _nearest(rows: DataFrame, name: str, point, query, rising: bool) -> DataFrame:
@@ -100,9 +108,10 @@ def suffix_array(rows: DataFrame, min_words: int) -> tuple[DataFrame, int]:
     line = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("lines") - 1).alias("pos"), F.col("lines").alias("line"))).alias("x")
     lines = rows.where("body is not null").select("id", "th", F.split("body", "\n").alias("lines")).select("id", "th", line).select("id", "th", "x.pos", "x.line")
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + F.when(F.col("line") == "", 0).otherwise(1)
-    lines = lines.select("id", "th", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), words.cast("long").alias("words"))
+    lines = lines.select("id", "th", "pos", F.xxhash64("line").alias("a"), F.unhex(F.md5("line")).alias("b"), words.cast("long").alias("words"))
     lines = stash(lines, "lines")
-    found = lines.join(line_ids(lines), ["a", "b"]).select("id", "th", "pos", "words", "r0")
+    ids, counted = line_ids(lines)
+    found = lines.join(ids, ["a", "b"]).select("id", "th", "pos", "words", "r0")
     # By number: the windows below sort these partitions several times, so they are not to be joined to few.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = found.repartition(parts, *_DOC).dropDuplicates([*_DOC, "pos"])
@@ -113,18 +122,32 @@ def suffix_array(rows: DataFrame, min_words: int) -> tuple[DataFrame, int]:
     found = _nearest(found, "reach", F.col("upto"), before + min_words, rising=False)
     found = _nearest(found, "back", before, F.col("upto") - min_words, rising=True)
     suffixes = stash(found.drop("upto"), "suffixes")
+    discard(lines, counted)
     size = F.max(F.greatest(F.col("reach") - F.col("pos") + 1, F.col("pos") - F.col("back") + 1))
     longest, count = suffixes.agg(size, F.count("*")).first()
     depth = 0
+    used: tuple[DataFrame, ...] = (suffixes,)
     while 2 << depth <= (longest or 0):
-        suffixes = double(suffixes, depth, half_bits(count))
-        depth += 1
+        suffixes, tables = double(suffixes, depth, half_bits(count))
+        discard(*used)
+        used, depth = tables, depth + 1
+    # The last rank is written, too, so that the tables of its level can go.
+    if depth:
+        suffixes = stash(suffixes, "suffixes")
+        discard(*used)
     return suffixes, depth
 
 
-def later_copies(rows: DataFrame, min_words: int) -> DataFrame:
-    """(id, th, gone): positions of the lines to delete, for texts of rows (id, th, body) that have some."""
-    suffixes, depth = suffix_array(rows, min_words)
+def intervals(runs: DataFrame) -> DataFrame:
+    """(w, x, y, n, origin): intervals of the suffix array whose longest common prefix is w lines at least, and which hold n > 1 runs.
+
+    runs: (id, th, a, z, w, x, y), where x and y are the ranks by which runs of w lines are named.
+    """
+    return runs.groupBy("w", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a")).alias("origin")).where("n > 1")
+
+
+def shortest_runs(suffixes: DataFrame, depth: int) -> DataFrame:
+    """(id, th, a, z, w, x, y): the shortest runs of enough words, by suffixes with ranks r0 .. r(depth)."""
     ranks = [f"r{k}" for k in range(depth + 1)]
     each = F.sort_array(F.collect_list(F.struct("pos", "reach", "back", *ranks)))
     segments = suffixes.groupBy(*_SEGMENT).agg(each.alias("s")).where("exists(s, x -> x.reach is not null)")
@@ -135,14 +158,20 @@ def later_copies(rows: DataFrame, min_words: int) -> DataFrame:
     runs = segments.withColumn("run", F.explode(F.expr(runs)))
     runs = runs.withColumn("w", F.expr("run.z - run.a + 1")).withColumn("k", F.expr("length(bin(w)) - 1"))
     begin, end = F.expr("r[k][run.a - first]"), F.expr("r[k][run.z - first + 1 - shiftleft(1, k)]")
-    runs = runs.select("id", "th", F.col("run.a").alias("a"), F.col("run.z").alias("z"), "w", begin.alias("x"), end.alias("y"))
-    runs = stash(runs, "runs")
-    intervals = runs.groupBy("w", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a")).alias("origin")).where("n > 1")
+    return runs.select("id", "th", F.col("run.a").alias("a"), F.col("run.z").alias("z"), "w", begin.alias("x"), end.alias("y"))
+
+
+def later_copies(rows: DataFrame, min_words: int) -> DataFrame:
+    """(id, th, gone): positions of the lines to delete, for texts of rows (id, th, body) that have some."""
+    suffixes, depth = suffix_array(rows, min_words)
+    runs = stash(shortest_runs(suffixes, depth), "runs")
     # Written, so that Spark can split the runs of a large interval in the join.
-    intervals = stash(intervals.select("w", "x", "y", "origin"), "intervals")
-    copies = runs.join(intervals, ["w", "x", "y"]).where("not (struct(id, th, a) <=> origin)")
+    found = stash(intervals(runs).select("w", "x", "y", "origin"), "intervals")
+    copies = runs.join(found, ["w", "x", "y"]).where("not (struct(id, th, a) <=> origin)")
     places = F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "z"))))
-    return copies.groupBy(*_DOC).agg(places.alias("gone"))
+    gone = stash(copies.groupBy(*_DOC).agg(places.alias("gone")), "gone")
+    discard(suffixes, runs, found)
+    return gone
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
