@@ -61,7 +61,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(documents(spark, sf_dir))
+    """The bands are fitted on the documents that ``labels`` says are good, 20,000 at most."""
+    docs = documents(spark, sf_dir)
+    return quality.quality(docs, limits=quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
