@@ -12,8 +12,8 @@ from lineloom.llm import common, decontaminate, lines, packing, quality, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the word rules and the compression bands keep."""
-    return quality.keep_good(docs)
+    """Documents that the word rules and the compression bands keep; the bands are fitted on those labelled good."""
+    return quality.keep_good(docs, limits=quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, that of the smallest id."""
+    """One document of each component of texts with a five-word similarity of 0.8 or more, that of the smallest id."""
     return simhash.keep_one(docs)
 
 
@@ -51,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.stash(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.stash(stage(spark, docs, sf_dir), name)
+        common.discard(before)
     return docs
