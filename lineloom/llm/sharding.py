@@ -163,7 +163,7 @@ def grouped(rows: DataFrame, kinds: list[T.DataType], leaf: float) -> DataFrame:
             table = ranks(groups.select(F.col(x).alias("value")))
             low, high = 1, table.agg(F.max("rank")).first()[0]
             groups = groups.join(table.withColumnRenamed("value", x), x, "left").drop(x).withColumnRenamed("rank", x)
-        if low is None or low == high:
+        if low is None or high is None or low == high:
             place = F.lit(TOP - 1)
         else:
             place = 1 + F.floor((F.col(x) - F.lit(low)) / F.lit(float(high - low)) * (TOP - 2))
