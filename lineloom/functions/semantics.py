@@ -6,6 +6,7 @@ change case one to one, whatever the language.  All other modules use these form
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -42,18 +43,27 @@ def squeeze_blanks(value: Column) -> Column:
     return F.regexp_replace(value, " {2,}", " ")
 
 
-def _one_to_one(value: Column, change, exempt: tuple[str, ...]) -> Column:
+@functools.cache
+def _special(upper: bool, exempt: tuple[str, ...]) -> str:
+    """A class of the letters that do not change case one to one whatever stands beside them."""
+    found = [c for c in map(chr, range(0x80, 0x110000)) if len(c.upper() if upper else c.lower()) != 1]
+    return "[" + "".join(rf"\x{{{ord(c):X}}}" for c in sorted({*found, *exempt})) + "]"
+
+
+def _one_to_one(value: Column, change, upper: bool, exempt: tuple[str, ...], context: tuple[str, ...] = ()) -> Column:
+    """``change`` of each letter by itself; ``exempt`` ones stay, those of ``context`` depend on others."""
     letter = lambda c: F.when((F.length(change(c)) == 1) & ~c.isin(*exempt), change(c)).otherwise(c)
-    return F.when(value.rlike("^[\\x00-\\x7F]*$"), change(value)).otherwise(F.array_join(F.transform(F.split(value, ""), letter), ""))
+    plain = (F.octet_length(value) == F.length(value)) | ~value.rlike(_special(upper, exempt + context))
+    return F.when(plain, change(value)).otherwise(F.array_join(F.transform(F.split(value, ""), letter), ""))
 
 
 def upper_inv(value: Column) -> Column:
     """Upper case, letter by letter; letters without a single counterpart stay."""
-    return _one_to_one(value, F.upper, ("ı", "ſ"))
+    return _one_to_one(value, F.upper, True, ("ı", "ſ"))
 
 
 def lower_inv(value: Column) -> Column:
-    return _one_to_one(value, F.lower, ("İ",))
+    return _one_to_one(value, F.lower, False, ("İ",), ("Σ",))
 
 
 def key(value: Column, case_sensitive: bool) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stash
+from ..sources.scratch import discard, stash
 
 
 @dataclass(frozen=True)
@@ -20,6 +20,8 @@ class LineFrame:
 
     df: DataFrame
     order: tuple[tuple[str, bool], ...]
+    #: Whether the order is worth writing before it is used, since ranges read it twice.
+    costly: bool = False
 
     @classmethod
     def of(cls, df: DataFrame, *order: str, value: str = "value") -> LineFrame:
@@ -35,7 +37,7 @@ class LineFrame:
         return [F.col(c).asc() if up else F.col(c).desc() for c, up in self.order]
 
     def with_df(self, df: DataFrame) -> LineFrame:
-        return LineFrame(df, self.order)
+        return LineFrame(df, self.order, self.costly)
 
     def ranked(self) -> LineFrame:
         """The same lines ordered by ascending columns only."""
@@ -51,9 +53,12 @@ class LineFrame:
         """
         spark = self.df.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ranged = self.df.repartitionByRange(parts, *self.by()).sortWithinPartitions(*self.by())
+        source = stash(self.df, "keys") if self.costly else self.df
+        ranged = source.repartitionByRange(parts, *self.by()).sortWithinPartitions(*self.by())
         mark = F.monotonically_increasing_id()
         ranged = stash(ranged.select("value", *[c for c in self.df.columns if c not in ("value", name)], mark.alias("_at")), "lines")
+        if self.costly:
+            discard(source)
         part, place = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
         sizes = ranged.groupBy(part).agg((F.max(place) + 1).alias("_n"))
         # One row for each range, of which the session sets the number.

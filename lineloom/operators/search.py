@@ -20,6 +20,7 @@ PREVIEW = 240
 PREVIEW_BEFORE = 80
 MOST_CHUNK = 50_000
 LEAST_INTERVAL = 100
+MOST_CHARACTERS = 32_768
 
 
 def with_offsets(frame: LineFrame, newline_bytes: int = 1, preamble: int = 0) -> DataFrame:
@@ -139,6 +140,6 @@ def first_lines(frame: LineFrame, operator, count: int = 50) -> LineFrame:
     return operator.apply(frame.with_df(frame.df.orderBy(*frame.by()).limit(count)))
 
 
-def bounded(value: Column, most: int = 32_768, marker: str = " … [truncated]") -> Column:
+def bounded(value: Column, most: int = MOST_CHARACTERS, marker: str = " … [truncated]") -> Column:
     """A line of at most so many characters, marked if cut."""
     return F.when(F.length(value) > most, F.concat(F.substring(value, 1, most), F.lit(marker))).otherwise(value)

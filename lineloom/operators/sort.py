@@ -73,7 +73,7 @@ class Sort:
             taken.add(name)
             df = df.withColumn(name, key)
             order.append((name, up))
-        return LineFrame(df, (*order, *frame.order))
+        return LineFrame(df, (*order, *frame.order), costly=True)
 
     def counts(self, frame: LineFrame) -> DataFrame:
         return frame.df.agg(F.count("*").alias("input"), F.count("*").alias("output"), F.lit(0).cast("long").alias("affected"))

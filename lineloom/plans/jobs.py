@@ -1,4 +1,4 @@
-"""Jobs: work in the background that can be watched, cancelled and tried again."""
+"""Jobs: work in the background that can be watched, cancelled, limited in time and tried again."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from time import monotonic
 
 from pyspark.sql import SparkSession
 
+#: Seconds between two looks at a job's progress.
+THROTTLE = 0.25
 QUEUED, RUNNING, COMPLETED, CANCELLED, FAILED = "queued", "running", "completed", "cancelled", "failed"
 
 
@@ -39,9 +41,12 @@ class Job:
     result: object = None
     error: str | None = None
     attempts: int = 0
+    limit: float | None = None
     tag: str = field(default_factory=lambda: f"lineloom-{uuid.uuid4().hex}")
     began: float | None = None
+    ended: float | None = None
     future: Future | None = None
+    seen: tuple[float, Progress] | None = None
 
 
 class Jobs:
@@ -51,8 +56,9 @@ class Jobs:
         self.spark, self.jobs = spark, []
         self._pool, self._lock = ThreadPoolExecutor(max(1, parallel)), threading.Lock()
 
-    def submit(self, name: str, work: Callable[[SparkSession], object]) -> Job:
-        job = Job(name, work)
+    def submit(self, name: str, work: Callable[[SparkSession], object], limit: float | None = None) -> Job:
+        """``limit``: seconds after which the job is stopped and has failed, as a user's pattern may need for ever."""
+        job = Job(name, work, limit=limit)
         self.jobs.append(job)
         return self._start(job)
 
@@ -65,15 +71,24 @@ class Jobs:
         with self._lock:
             if job.state == CANCELLED:
                 return
-            job.state, job.began, job.attempts = RUNNING, monotonic(), job.attempts + 1
-        self.spark.addTag(job.tag)
+            job.state, job.began, job.ended, job.seen, job.attempts = RUNNING, monotonic(), None, None, job.attempts + 1
+        context = self.spark.sparkContext
+        context.addJobTag(job.tag)
+        late = threading.Timer(job.limit, context.cancelJobsWithTag, [job.tag]) if job.limit is not None else None
+        if late:
+            late.start()
         try:
             job.result = job.work(self.spark)
             end = COMPLETED
         except Exception as e:  # kept with the job; other jobs go on
             job.error, end = str(e), FAILED
+            if job.limit is not None and monotonic() - job.began >= job.limit:
+                job.error = f"it took more than {job.limit:g} s"
         finally:
-            self.spark.removeTag(job.tag)
+            if late:
+                late.cancel()
+            context.removeJobTag(job.tag)
+            job.ended = monotonic()
         with self._lock:
             if job.state != CANCELLED:
                 job.state = end
@@ -83,7 +98,7 @@ class Jobs:
         with self._lock:
             if job.state in (QUEUED, RUNNING):
                 job.state = CANCELLED
-        self.spark.interruptTag(job.tag)
+        self.spark.sparkContext.cancelJobsWithTag(job.tag)
 
     def retry(self, job: Job) -> Job:
         if job.state not in (CANCELLED, FAILED):
@@ -96,10 +111,24 @@ class Jobs:
         return job
 
     def progress(self, job: Job) -> Progress:
-        """Over the stages that are running now."""
-        tracker = self.spark.sparkContext.statusTracker()
-        done = total = 0
-        for stage in tracker.getActiveStageIds():
-            if info := tracker.getStageInfo(stage):
-                done, total = done + info.numCompletedTasks, total + info.numTasks
-        return Progress(done, total, 0.0 if job.began is None else monotonic() - job.began)
+        """Over the stages of this job's Spark jobs so far; looked at again after THROTTLE seconds at the earliest."""
+        now = monotonic()
+        if job.seen and now - job.seen[0] < THROTTLE:
+            return job.seen[1]
+        context = self.spark.sparkContext
+        tracker, done, total = context.statusTracker(), 0, 0
+        for spark_job in context._jsc.sc().statusTracker().getJobIdsForTag(job.tag):
+            info = tracker.getJobInfo(spark_job)
+            for stage in info.stageIds if info else ():
+                if found := tracker.getStageInfo(stage):  # stages that are skipped have none
+                    done, total = done + found.numCompletedTasks, total + found.numTasks
+        found = Progress(done, total, 0.0 if job.began is None else (job.ended or now) - job.began)
+        job.seen = now, found
+        return found
+
+    def watch(self, job: Job, tell: Callable[[Progress], None]) -> Job:
+        """``tell`` the progress every THROTTLE seconds until the job is over."""
+        while not job.future.done():
+            tell(self.progress(job))
+            threading.Event().wait(THROTTLE)
+        return self.wait(job)

@@ -14,6 +14,7 @@ from ..operators.extract import Extract
 from ..operators.filter import Filter, Rule
 from ..operators.frame import LineFrame
 from ..operators.sort import Sort
+from ..sources.encoding import ANSI
 from .runs import Result, run_steps
 
 KINDS = {"clean": Clean, "filter": Filter, "dedupe": Dedupe, "extract": Extract, "sort": Sort}
@@ -59,9 +60,9 @@ class Pipeline:
             frame = operator.apply(frame)
         return out
 
-    def run(self, spark: SparkSession, source: str, target: str) -> Result:
+    def run(self, spark: SparkSession, source: str, target: str, fallback: str = ANSI) -> Result:
         """One file in, one new file out; the counters are those of the last step."""
-        return run_steps(spark, self.operators(), source, target)
+        return run_steps(spark, self.operators(), source, target, fallback=fallback)
 
     def to_json(self) -> str:
         steps = [{"kind": s.kind, "enabled": s.enabled, "options": None if s.options is None else asdict(s.options)} for s in self.steps]
@@ -95,8 +96,8 @@ class FileResult:
 class Batch:
     """A pipeline over many files, a few at a time, each with its own plan and outcome."""
 
-    def __init__(self, pipeline: Pipeline, suffix: str = "_result", parallel: int = 2, tag: str = "lineloom-batch"):
-        self.pipeline, self.suffix, self.parallel, self.tag = pipeline, suffix, min(8, max(1, parallel)), tag
+    def __init__(self, pipeline: Pipeline, suffix: str = "_result", parallel: int = 2, tag: str = "lineloom-batch", fallback: str = ANSI):
+        self.pipeline, self.suffix, self.parallel, self.tag, self.fallback = pipeline, suffix, min(8, max(1, parallel)), tag, fallback
         self._cancelled = False
 
     def cancel(self, spark: SparkSession) -> None:
@@ -119,7 +120,7 @@ class Batch:
                 return FileResult(source, None, cancelled=True)
             spark.addTag(self.tag)
             try:
-                return FileResult(source, self.pipeline.run(spark, source, self.target(source, folder, base)))
+                return FileResult(source, self.pipeline.run(spark, source, self.target(source, folder, base), self.fallback))
             except Exception as e:  # of one file; the others go on
                 return FileResult(source, None, str(e), cancelled=self._cancelled)
             finally:

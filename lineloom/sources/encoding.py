@@ -15,6 +15,10 @@ ZERO_SHARE = 0.7
 ENDING_CHARACTERS = 32_768
 
 
+#: The code page of what is neither UTF-8 nor UTF-16.
+ANSI = "cp1252"
+
+
 @dataclass(frozen=True)
 class TextEncoding:
     """``name`` is Python's, ``label`` is for people."""
@@ -25,7 +29,10 @@ class TextEncoding:
     preamble: int = 0
 
 
-def detect(sample: bytes, whole: bool = False, fallback: str = "cp1252") -> TextEncoding:
+UTF8 = TextEncoding("utf-8", "UTF-8")
+
+
+def detect(sample: bytes, whole: bool = False, fallback: str = ANSI) -> TextEncoding:
     """The encoding of a file that begins with ``sample``; ``whole``: there is no more of it."""
     if sample[:4] == b"\xff\xfe\0\0" and len(sample) >= 4:
         raise ValueError("UTF-32 is not read")
@@ -52,7 +59,7 @@ def detect(sample: bytes, whole: bool = False, fallback: str = "cp1252") -> Text
     return TextEncoding(fallback, f"ANSI ({fallback})")
 
 
-def detect_file(spark: SparkSession, path: str, fallback: str = "cp1252") -> TextEncoding:
+def detect_file(spark: SparkSession, path: str, fallback: str = ANSI) -> TextEncoding:
     sample = Files(spark).head(path, SAMPLE_BYTES)
     return detect(sample, whole=len(sample) < SAMPLE_BYTES, fallback=fallback)
 

@@ -6,13 +6,15 @@ import contextlib
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
 class Files:
     def __init__(self, spark: SparkSession):
         self._conf = spark._jsc.hadoopConfiguration()
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs, self._io = spark._jvm.org.apache.hadoop.fs, spark._jvm.org.apache.hadoop.io.IOUtils
+        self._path, self._gateway = self._fs.Path, spark._sc._gateway
 
     def _at(self, path: str):
         p = self._path(path)
@@ -47,9 +49,50 @@ class Files:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def move(self, draft, place, overwrite: bool = False) -> None:
+        """Rename in one step, which replaces a file only if it is to."""
+        jvm_conf, rename = self._conf, getattr(self._fs, "Options$Rename")
+        try:
+            files = self._fs.FileContext.getFileContext(place.toUri(), jvm_conf)
+        except Py4JJavaError as e:
+            if "UnsupportedFileSystem" not in e.java_exception.getClass().getName():
+                raise
+            files = None
+        if files is None:  # a file system that has no such step
+            fs = place.getFileSystem(jvm_conf)
+            if fs.exists(place):
+                if not overwrite:
+                    raise FileExistsError(str(place))
+                fs.delete(place, False)
+            if not fs.rename(draft, place):
+                raise OSError(f"could not move the result to {place}")
+            return
+        options = self._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE if overwrite else rename.NONE
+        try:
+            files.rename(draft, place, options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise FileExistsError(str(place)) from e
+            raise
+
+    def names(self, folder: str) -> list[str]:
+        """Names in a folder, in order."""
+        fs, p = self._at(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p))
+
+    def append(self, stream, path: str) -> None:
+        """Copy a file to the end of an open stream, by the JVM."""
+        fs, p = self._at(path)
+        source = fs.open(p)
+        try:
+            self._io.copyBytes(source, stream, 1 << 20, False)
+        finally:
+            source.close()
+
     @contextlib.contextmanager
     def writing(self, path: str, overwrite: bool = False) -> Iterator:
-        """A stream whose file appears at ``path`` as a whole, or not at all."""
+        """What takes bytes, or the path of a file to copy, for a file that appears at ``path`` as a whole, or not at all."""
         fs, p = self._at(path)
         if not overwrite and fs.exists(p):
             raise FileExistsError(path)
@@ -58,15 +101,10 @@ class Files:
         draft = self._path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}.tmp")
         stream = fs.create(draft, False)
         try:
-            yield lambda data: stream.write(bytearray(data))
+            yield lambda data: stream.write(bytearray(data)) if isinstance(data, bytes) else self.append(stream, data)
             stream.hsync()
             stream.close()
-            if fs.exists(p):
-                if not overwrite:
-                    raise FileExistsError(path)
-                fs.delete(p, False)
-            if not fs.rename(draft, p):
-                raise OSError(f"could not move the result to {path}")
+            self.move(draft, p, overwrite)
         except BaseException:
             with contextlib.suppress(Exception):
                 stream.close()

@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.frame import LineFrame
-from .encoding import SAMPLE_BYTES, TextEncoding, detect, detect_file, line_ending
+from ..operators.search import MOST_CHARACTERS, bounded
+from .encoding import ANSI, SAMPLE_BYTES, UTF8, TextEncoding, detect, detect_file, line_ending
 from .files import Files
+from .scratch import discard, remove, scratch, stash
 
 #: Endings that are taken for text.
 ENDINGS = (".txt", ".log", ".csv", ".tsv", ".jsonl")
@@ -29,15 +31,26 @@ def _decoded(encoding, batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "text"])
 
 
-def read_lines(spark: SparkSession, path: str, encoding: TextEncoding | None = None, only_lf: bool = False, strict: bool = True) -> LineFrame:
+def read_lines(spark: SparkSession, path: str, encoding: TextEncoding | None = None, only_lf: bool = False, strict: bool = True, most: int | None = None) -> LineFrame:
     """The lines of a file, or of the files of a folder, in order.
 
     CR, LF and CRLF end a line; with ``only_lf`` LF alone does, and CRs before it are cut.
     UTF-8 is read in splits.  Other encodings are decoded a file at a time, as their
     splits can't be told; such a file must fit in a task.  Invalid bytes raise when the
-    line is read, unless not ``strict``.
+    line is read, unless not ``strict``.  ``most``: longer lines are cut to so many
+    characters and marked; the task that cuts a line holds that one line.
     """
-    encoding = encoding or detect_file(spark, path)
+    frame = _read(spark, path, encoding or detect_file(spark, path), only_lf, strict)
+    return frame if most is None else frame.with_df(frame.df.withColumn("value", bounded(F.col("value"), most)))
+
+
+def read_large(spark: SparkSession, path: str, encoding: TextEncoding | None = None) -> LineFrame:
+    """The lines of a large file: LF alone ends a line, invalid bytes are replaced, and lines are bounded."""
+    frame = read_lines(spark, path, encoding, only_lf=True, strict=False, most=MOST_CHARACTERS)
+    return frame.with_df(frame.df.withColumn("value", F.make_valid_utf8("value")))
+
+
+def _read(spark: SparkSession, path: str, encoding: TextEncoding, only_lf: bool, strict: bool) -> LineFrame:
     if encoding.name == "utf-8":
         reader = spark.read.option("lineSep", "\n") if only_lf else spark.read
         df = reader.text(path).select(
@@ -61,18 +74,18 @@ def read_lines(spark: SparkSession, path: str, encoding: TextEncoding | None = N
     return LineFrame.of(texts.select("file", F.posexplode(lines).alias("at", "value")), "file", "at")
 
 
-def read_text(spark: SparkSession, path: str, most: int = NORMAL_BYTES) -> str:
+def read_text(spark: SparkSession, path: str, most: int = NORMAL_BYTES, fallback: str = ANSI) -> str:
     """A whole file of normal size."""
     files = Files(spark)
     if files.status(path)[1] > most:
         raise ValueError(f"larger than {most} bytes: {path}")
     data = files.read(path)
-    return data.decode(detect(data[:SAMPLE_BYTES], whole=len(data) <= SAMPLE_BYTES).name).removeprefix("﻿")
+    return data.decode(detect(data[:SAMPLE_BYTES], whole=len(data) <= SAMPLE_BYTES, fallback=fallback).name).removeprefix("﻿")
 
 
 def save_text(spark: SparkSession, path: str, text: str, encoding: TextEncoding | None = None) -> None:
     """Replace a file, as a whole or not at all."""
-    encoding = encoding or TextEncoding("utf-8", "UTF-8")
+    encoding = encoding or UTF8
     with Files(spark).writing(path, overwrite=True) as write:
         write((("﻿" if encoding.bom else "") + text).encode(encoding.name))
 
@@ -83,13 +96,21 @@ def write_folder(frame: LineFrame, path: str, ending: str = "\n") -> None:
 
 
 def write_file(frame: LineFrame, path: str, ending: str = "\n", encoding: TextEncoding | None = None) -> int:
-    """The lines in order as one new file, in any encoding, with as much memory as a partition takes; how many."""
-    encoding = encoding or TextEncoding("utf-8", "UTF-8")
-    spark, n = frame.df.sparkSession, 0
+    """The lines in order as one new file; how many.
+
+    UTF-8 is written in parts by all executors and joined by the driver's JVM, which
+    copies bytes.  Other encodings go line by line through the driver, with as much
+    memory as a partition takes.
+    """
+    encoding = encoding or UTF8
+    spark = frame.df.sparkSession
     with Files(spark).writing(path) as write:  # it raises first if the file exists
         if encoding.bom:
-            write("﻿".encode(encoding.name))
+            write("\ufeff".encode(encoding.name))
+        if encoding.name == "utf-8":
+            return _join(frame, write, ending)
         block: list[str] = []
+        n = 0
         for row in frame.lines().toLocalIterator(prefetchPartitions=True):
             block.append(row[0])
             n += 1
@@ -98,27 +119,71 @@ def write_file(frame: LineFrame, path: str, ending: str = "\n", encoding: TextEn
                 block.clear()
         if block:
             write((ending.join(block) + ending).encode(encoding.name))
-    return n
+        return n
 
 
-def write_parts(frame: LineFrame, split, source: str, folder: str, ending: str = "\n", encoding: TextEncoding | None = None) -> list[str]:
-    """A file for each part of a split; if one fails, those written go."""
+def _join(frame: LineFrame, write, ending: str) -> int:
     spark = frame.df.sparkSession
+    parts, seen = scratch(spark, "parts"), Observation()
+    try:
+        frame.lines().observe(seen, F.count("*").alias("n")).write.option("lineSep", ending).text(parts)
+        for name in Files(spark).names(parts):
+            if name.startswith("part-"):
+                write(f"{parts}/{name}")
+        return seen.get["n"]
+    finally:
+        remove(spark, parts)
+
+
+def write_parts(frame: LineFrame, split, source: str, folder: str, ending: str = "\n", encoding: TextEncoding | None = None) -> list[str]:
+    """A file for each part of a split, in order; if one fails, those written go.
+
+    In UTF-8 one Spark job writes them all, a task for each part at a time, and the files
+    are then renamed; in other encodings each goes through the driver.
+    """
+    encoding = encoding or UTF8
+    spark, files = frame.df.sparkSession, Files(frame.df.sparkSession)
     parts = split.apply(frame)
-    count = parts.df.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
+    parts = parts.with_df(stash(parts.df.select("line_no", "part", "value"), "split"))
+    draft = scratch(spark, "parts")
     written: list[str] = []
     try:
+        if encoding.name == "utf-8":
+            count = _write_parts(parts.df, draft, ending, encoding.bom)
+        else:
+            count = parts.df.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
         for k in range(1, count + 1):
             path = f"{folder}/{split.name(source, k)}"
-            write_file(parts.with_df(parts.df.where(F.col("part") == k)), path, ending, encoding)
+            if encoding.name == "utf-8":
+                own = f"{draft}/part={k}"
+                with files.writing(path) as write:
+                    for name in files.names(own):
+                        write(f"{own}/{name}")
+            else:
+                write_file(parts.with_df(parts.df.where(F.col("part") == k)), path, ending, encoding)
             written.append(path)
     except BaseException:
         for path in written:
-            Files(spark).delete(path)
+            files.delete(path)
         raise
+    finally:
+        discard(parts.df)
+        remove(spark, draft)
     return written
 
 
+def _write_parts(df: DataFrame, folder: str, ending: str, bom: bool) -> int:
+    """A folder for each part, with one file; how many parts."""
+    first = F.row_number().over(Window.partitionBy("part").orderBy("line_no")) == 1
+    seen = Observation()
+    df = df.observe(seen, F.coalesce(F.max("part"), F.lit(0)).alias("n"))
+    if bom:
+        df = df.withColumn("value", F.when(first, F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value")))
+    df = df.repartition("part").sortWithinPartitions("part", "line_no").select("value", "part")
+    df.write.option("lineSep", ending).partitionBy("part").text(folder)
+    return seen.get["n"]
+
+
 @dataclass(frozen=True)
 class TextFile:
     path: str
@@ -129,11 +194,11 @@ class TextFile:
     mode: str
 
 
-def inspect(spark: SparkSession, path: str, normal: int = NORMAL_BYTES) -> TextFile:
+def inspect(spark: SparkSession, path: str, normal: int = NORMAL_BYTES, fallback: str = ANSI) -> TextFile:
     files = Files(spark)
     _, size, modified = files.status(path)
     sample = files.head(path, SAMPLE_BYTES)
-    encoding = detect(sample, whole=size <= SAMPLE_BYTES)
+    encoding = detect(sample, whole=size <= SAMPLE_BYTES, fallback=fallback)
     text = sample[encoding.preamble :].decode(encoding.name, "ignore")
     return TextFile(path, size, datetime.fromtimestamp(modified / 1000, UTC), encoding, line_ending(text), "normal" if size <= normal else "large")
 
@@ -141,6 +206,7 @@ def inspect(spark: SparkSession, path: str, normal: int = NORMAL_BYTES) -> TextF
 def generate(spark: SparkSession, lines: int) -> LineFrame:
     """Numbered synthetic lines of four columns, every 17th of them in a frequent category."""
     n = F.col("id") + 1
+    # The lines are to be these.
     kind = F.when(n % 17 == 0, "duplicate-heavy").otherwise("dataset")
     user = F.format_string("user%06d@example.test", n % 100_000)
     item = F.format_string("https://example.test/items/%d", n % 10_000)
