@@ -45,7 +45,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,8 +63,8 @@ SIMILAR_SHINGLE = 5
 #: Bits of the long fingerprint, the steps by which its three orders go through them, and bits of a table.
 LANES, STEPS, EXACT = 3, (1, 71, 115), 4
 SIMILAR_THRESHOLD = 1
-#: Candidates differ in so many of the first 64 bits at most; similar texts do in 7 or 8.
-SIMILAR_BITS = 17
+#: Candidates differ in so many of 128 bits at most; texts of similarity 0.8 do in 15, others in 64, or 50 if they share a table.
+SIMILAR_BITS = 28
 
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the Golay code.
 GENERATOR = 0b110001110101
@@ -281,16 +281,16 @@ def _deal_tables(most, batches):
         for start in range(0, len(whole), 1024):
             at, keys = table_anchors(whole[start : start + 1024], most)
             rows = pa.array(at + start)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(names.index(n)).take(rows) for n in ("node", "p0", "root"))], names=["key", "node", "p0", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(names.index(n)).take(rows) for n in ("node", "p0", "p1", "root"))], names=["key", "node", "p0", "p1", "root"])
 
 
 def _dealt(nodes: DataFrame, most: int) -> DataFrame:
-    """(key, node, p0, root) from nodes (node, p0, p1, .., root)."""
-    return nodes.mapInArrow(functools.partial(_deal_tables, most), "key long, node long, p0 long, root long")
+    """(key, node, p0, p1, root) from nodes (node, p0, p1, .., root)."""
+    return nodes.mapInArrow(functools.partial(_deal_tables, most), "key long, node long, p0 long, p1 long, root long")
 
 
-def _near(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= SIMILAR_BITS
+def _near(*pairs: tuple[str, str]):
+    return functools.reduce(Column.__add__, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in pairs]) <= SIMILAR_BITS
 
 
 def _name(id_):
@@ -323,17 +323,18 @@ def similarity_classes(rows: DataFrame, width: int = SIMILAR_SHINGLE, least: flo
     nodes = stash(printed.groupBy(F.col("th").alias("node")).agg(F.min(F.struct("none", "id")).alias("f"), *lanes).select("node", "f.*", *added.names), "nodes")
     plain = nodes.select("node", *added.names, F.col("node").alias("root"))
     homes = _dealt(plain, 0)
-    stars = homes.groupBy("key").agg(F.min(F.struct("node", "p0")).alias("star"), F.count("*").alias("n")).where("n > 1").select("key", "star.node", "star.p0")
+    stars = homes.groupBy("key").agg(F.min("node").alias("b"), F.min_by("p0", "node").alias("q0"), F.min_by("p1", "node").alias("q1"), F.count("*").alias("n")).where("n > 1")
     # Written, so that Spark can split a hot anchor in the join.
-    stars = stash(stars.toDF("key", "b", "q"), "stars")
-    first = stash(homes.join(stars, "key").where((F.col("node") != F.col("b")) & _near("p0", "q")).select(F.col("node").alias("a"), "b").distinct(), "candidates")
+    stars = stash(stars.select("key", "b", "q0", "q1"), "stars")
+    first = homes.join(stars, "key").where((F.col("node") != F.col("b")) & _near(("p0", "q0"), ("p1", "q1")))
+    first = stash(first.select(F.col("node").alias("a"), "b").distinct(), "candidates")
     found = similar(first, nodes, rows, width, least)
     linked = stash(components(found), "linked")
     rooted = plain.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stash(rooted, "rooted")
-    one = _dealt(rooted, 0).toDF("key", "a", "pa", "ra")
-    two = _dealt(rooted, SIMILAR_THRESHOLD).toDF("key", "b", "pb", "rb")
-    pairs = one.hint("merge").join(two, (one["key"] == two["key"]) & (F.col("ra") != F.col("rb")) & _near("pa", "pb"))
+    one = _dealt(rooted, 0).toDF("key", "a", "pa", "qa", "ra")
+    two = _dealt(rooted, SIMILAR_THRESHOLD).toDF("key", "b", "pb", "qb", "rb")
+    pairs = one.hint("merge").join(two, (one["key"] == two["key"]) & (F.col("ra") != F.col("rb")) & _near(("pa", "pb"), ("qa", "qb")))
     second = stash(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
     more = similar(second, nodes, rows, width, least)
     roots = stash(components(found.union(more)), "roots")
