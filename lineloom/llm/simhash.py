@@ -24,9 +24,11 @@ Texts so similar may differ in 10 of 64 bits, so its candidates come from 21 tab
 anchors: 27 bits each, of a fingerprint of 192 bits in three orders, 23 of them in one
 Golay block with threshold 1 and 4 of them equal.  A pair of similarity 0.8 is a guest
 of its partner's home in some table with a probability of about 0.95, one of 0.85 with
-0.99.  Homes of one anchor are first linked to its least text, and then guests are
-compared with homes of other components only, so a group of near copies does not give
-all its pairs.
+0.99.  Homes of one anchor are first linked to its least text.  Then guests are
+compared with homes of other components only, and that twice: a semi-join tells which
+texts have a candidate at all; these get a sketch of 1,024 minwise bits, and only pairs
+whose sketches agree as those of similar texts do are candidates.  So neither a group of
+near copies nor one of texts that are a little less similar gives all its pairs.
 
 Defined results
 * null, empty or wordless text: fingerprint 0, linked like any other;
@@ -42,6 +44,7 @@ Defined results
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +68,8 @@ LANES, STEPS, EXACT = 3, (1, 71, 115), 4
 SIMILAR_THRESHOLD = 1
 #: Candidates differ in so many of 128 bits at most; texts of similarity 0.8 do in 15, others in 64, or 50 if they share a table.
 SIMILAR_BITS = 28
+#: Longs of minwise bits in a sketch, and standard deviations by which those of similar texts may be worse than their mean.
+SKETCH, WORSE = 16, 2.5
 
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the Golay code.
 GENERATOR = 0b110001110101
@@ -130,21 +135,47 @@ class _Fingerprint:
         return work
 
 
-def shingle_set(text: bytes | None, width: int) -> list[int]:
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """The distinct hashes of the shingles, as signed integers."""
     from xxhash import xxh64_intdigest
 
     found, n = shingles(words_of(text), width)
     hashes = np.fromiter((xxh64_intdigest(s, SEED) for s in found), dtype="<u8", count=n)
-    return np.unique(hashes.view("<i8")).tolist()
+    return np.unique(hashes.view("<i8"))
+
+
+@functools.cache
+def _minwise() -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of the sketch's hash functions, by the splitmix64 rule."""
+    index = np.arange(64 * SKETCH, dtype=np.uint64)
+    return _lane(index, 1) | np.uint64(1), _lane(index, 2)
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """A bit of the least of the hashes under each function: two sets agree in a bit with probability (1 + similarity) / 2."""
+    factors, shifts = _minwise()
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        for start in range(0, len(hashes), 512):
+            part = hashes[start : start + 512].view(np.uint64)
+            least = np.minimum(least, (part[:, None] * factors + shifts).min(axis=0))
+    bits = ((least >> np.uint64(31)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
 
 
 class _Sets:
+    """Work for append_columns: the set of shingles and its sketch."""
+
     def __init__(self, width: int):
         self.width = width
 
     def __call__(self):
-        return lambda texts: {"shingles": [shingle_set(t, self.width) for t in texts]}
+        def work(texts):
+            sets = [shingle_set(t, self.width) for t in texts]
+            sketches = [sketch(s) for s in sets]
+            return {"shingles": sets} | {f"k{i}": [k[i] for k in sketches] for i in range(SKETCH)}
+
+        return work
 
 
 @functools.cache
@@ -274,23 +305,28 @@ def table_anchors(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(index), np.concatenate(keys)
 
 
-def _deal_tables(most, batches):
+def _deal_tables(most, more, batches):
     for batch in batches:
         names = batch.schema.names
         whole = np.stack([batch.column(names.index(f"p{k}")).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(LANES)], axis=1)
         for start in range(0, len(whole), 1024):
             at, keys = table_anchors(whole[start : start + 1024], most)
             rows = pa.array(at + start)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(names.index(n)).take(rows) for n in ("node", "p0", "p1", "root"))], names=["key", "node", "p0", "p1", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(names.index(n)).take(rows) for n in ("node", "p0", "p1", "root", *more))], names=["key", "node", "p0", "p1", "root", *more])
+
+
+def _dealt(nodes: DataFrame, most: int, more: list[str] | None = None) -> DataFrame:
+    """(key, node, p0, p1, root, and columns ``more`` of longs) from nodes (node, p0, p1, .., root)."""
+    names = ["key", "node", "p0", "p1", "root", *(more or [])]
+    return nodes.mapInArrow(functools.partial(_deal_tables, most, more or []), ", ".join(f"{n} long" for n in names))
 
 
-def _dealt(nodes: DataFrame, most: int) -> DataFrame:
-    """(key, node, p0, p1, root) from nodes (node, p0, p1, .., root)."""
-    return nodes.mapInArrow(functools.partial(_deal_tables, most), "key long, node long, p0 long, p1 long, root long")
+def _differing(*pairs: tuple[str, str]) -> Column:
+    return functools.reduce(Column.__add__, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in pairs])
 
 
-def _near(*pairs: tuple[str, str]):
-    return functools.reduce(Column.__add__, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in pairs]) <= SIMILAR_BITS
+def _near(*pairs: tuple[str, str]) -> Column:
+    return _differing(*pairs) <= SIMILAR_BITS
 
 
 def _name(id_):
@@ -298,21 +334,26 @@ def _name(id_):
     return F.coalesce(id_.cast("string"), F.lit("")).alias("name")
 
 
-def similar(edges: DataFrame, sources: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """The edges (a, b) whose texts are so similar; sources: (node, none, id) of one row for each node; rows: (none, id, th, body)."""
-    needed = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    needed = stash(sources.join(needed, "node").select(F.col("node").alias("th"), "none", _name(F.col("id"))), "endpoints")
+def shingle_sets(nodes: DataFrame, sources: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(node, s, k0, ..): sets of shingles and sketches of nodes (node); sources: (node, none, id) of one row for each node; rows: (none, id, th, body)."""
+    needed = stash(sources.join(nodes, "node").select(F.col("node").alias("th"), "none", _name(F.col("id"))), "endpoints")
     texts = rows.withColumn("name", _name(F.col("id"))).join(needed, ["none", "name", "th"], "left_semi").select("th", "body")
-    added = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
+    names = [f"k{i}" for i in range(SKETCH)]
+    added = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))] + [T.StructField(k, T.LongType()) for k in names])
     # Of repeated rows one is enough; they meet before the shuffle.
-    sets = append_columns(texts, "body", added, _Sets(width)).groupBy("th").agg(F.first("shingles").alias("s"))
+    sets = append_columns(texts, "body", added, _Sets(width)).groupBy(F.col("th").alias("node")).agg(F.first("shingles").alias("s"), *[F.first(k).alias(k) for k in names])
     sets = stash(sets, "shingles")
-    both = edges.join(sets.select(F.col("th").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("th").alias("b"), F.col("s").alias("sb")), "b")
+    discard(needed)
+    return sets
+
+
+def similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The edges (a, b) whose sets are so similar."""
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("s").alias(f"s{name}"))
+    both = edges.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    done = stash(both.where((union == 0) | (common / union >= least)).select("a", "b"), "similar")
-    discard(needed, sets)
-    return done
+    return stash(both.where((union == 0) | (common / union >= least)).select("a", "b"), "similar")
 
 
 def similarity_classes(rows: DataFrame, width: int = SIMILAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -328,19 +369,34 @@ def similarity_classes(rows: DataFrame, width: int = SIMILAR_SHINGLE, least: flo
     stars = stash(stars.select("key", "b", "q0", "q1"), "stars")
     first = homes.join(stars, "key").where((F.col("node") != F.col("b")) & _near(("p0", "q0"), ("p1", "q1")))
     first = stash(first.select(F.col("node").alias("a"), "b").distinct(), "candidates")
-    found = similar(first, nodes, rows, width, least)
+    ends = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    sets = shingle_sets(ends, nodes, rows, width)
+    found = similar(first, sets, least)
+    discard(stars, first, sets)
     linked = stash(components(found), "linked")
     rooted = plain.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stash(rooted, "rooted")
-    one = _dealt(rooted, 0).toDF("key", "a", "pa", "qa", "ra")
-    two = _dealt(rooted, SIMILAR_THRESHOLD).toDF("key", "b", "pb", "qb", "rb")
-    pairs = one.hint("merge").join(two, (one["key"] == two["key"]) & (F.col("ra") != F.col("rb")) & _near(("pa", "pb"), ("qa", "qb")))
+    one = _dealt(rooted, 0).toDF("key", "a", "p0", "p1", "ra")
+    two = _dealt(rooted, SIMILAR_THRESHOLD).toDF("key", "b", "q0", "q1", "rb")
+    apart = (one["key"] == two["key"]) & (F.col("ra") != F.col("rb")) & _near(("p0", "q0"), ("p1", "q1"))
+    # Each text once, however many candidates it has.
+    play = one.hint("merge").join(two, apart, "left_semi").select(F.col("a").alias("node")).union(two.hint("merge").join(one, apart, "left_semi").select("b"))
+    play = stash(play.distinct(), "play")
+    sets = shingle_sets(play, nodes, rows, width)
+    sketches = [f"k{i}" for i in range(SKETCH)]
+    drawn = rooted.join(sets.drop("s"), "node")
+    one = _dealt(drawn, 0, sketches).toDF("key", "a", "p0", "p1", "ra", *sketches)
+    two = _dealt(drawn, SIMILAR_THRESHOLD, sketches).toDF("key", "b", "q0", "q1", "rb", *[f"l{i}" for i in range(SKETCH)])
+    bits, share = 64 * SKETCH, (1 - least) / 2
+    most = bits * share + WORSE * math.sqrt(bits * share * (1 - share))
+    apart = (one["key"] == two["key"]) & (F.col("ra") != F.col("rb")) & (_differing(*[(f"k{i}", f"l{i}") for i in range(SKETCH)]) <= most)
+    pairs = one.hint("merge").join(two, apart)
     second = stash(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
-    more = similar(second, nodes, rows, width, least)
+    more = similar(second, sets, least)
     roots = stash(components(found.union(more)), "roots")
     done = nodes.join(roots, "node", "left").select(F.col("node").alias("th"), "none", "id", F.coalesce("root", "node").alias("root"))
     done = stash(done, "classes")
-    discard(nodes, stars, first, found, linked, rooted, second, more, roots)
+    discard(nodes, found, linked, rooted, play, sets, second, more, roots)
     return done
 
 
