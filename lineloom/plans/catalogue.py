@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +14,16 @@ from ..operators.clean import Clean
 from ..operators.columns import Columns
 from ..operators.compare import Compare
 from ..operators.dedupe import Dedupe
-from ..operators.extract import Extract
+from ..operators.extract import PATTERNS, Extract
 from ..operators.filter import Filter, Rule
 from ..operators.frame import LineFrame
 from ..operators.merge import Merge
 from ..operators.sort import Sort
 from ..operators.split import Split
 from ..operators.statistics import daily_totals, statistics, text_counters
+from ..sources.encoding import TextEncoding
 from ..sources.text import generate, lines_of
+from . import file_queries as FQ
 from .pipeline import Pipeline, Step
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,7 +131,7 @@ applied("filter_not_equals", PRIORITIES, Filter((Rule("not_equals", "1-URGENT",
 EITHER = Filter((Rule("starts", "a"), Rule("ends", "the."), Rule("shorter", "30")), "or")
 EITHER_SQL = "starts_with(lower(value), 'a') OR ends_with(lower(value), 'the.') OR length(value) < 30"
 applied("filter_or", documents, EITHER, f"WITH {LINES} SELECT * FROM lines WHERE {EITHER_SQL}", *DOC)
-applied("filter_and", PARTS, Filter((Rule("contains", "a"), Rule("longer", "12"))), "SELECT p_partkey AS id, p_name AS value FROM part WHERE contains(lower(p_name), 'a') AND length(p_name) > 12", *ID)
+applied("filter_and", documents, Filter((Rule("contains", "THE"), Rule("longer", "150"), Rule("not_regex", "\\.$"))), f"WITH {LINES} SELECT * FROM lines WHERE contains(lower(value), 'the') AND length(value) > 150 AND NOT regexp_matches(value, '\\.$')", *DOC)
 counted("filter_counts", documents, EITHER, f"WITH {LINES} SELECT count(*) AS input, count(*) FILTER ({EITHER_SQL}) AS output, count(*) FILTER (NOT ({EITHER_SQL})) AS affected FROM lines")
 
 # --- dedupe --------------------------------------------------------------------------
@@ -141,6 +144,10 @@ def _kept(key: str, way: str) -> str:
 applied("dedupe_first", documents, Dedupe(), _kept("value", ""), *DOC)
 applied("dedupe_last", documents, Dedupe(keep="last"), _kept("value", "DESC"), *DOC)
 applied("dedupe_ci", documents, Dedupe(case_sensitive=False), _kept(UPPER, ""), *DOC)
+CASES = column("orders", "o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderpriority) WHEN o_orderkey % 3 = 1 THEN concat(lower(substring(o_orderpriority, 1, 4)), upper(substring(o_orderpriority, 5))) ELSE o_orderpriority END")
+CASES_SQL = "cases AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderpriority) WHEN o_orderkey % 3 = 1 THEN lower(o_orderpriority[1:4]) || upper(o_orderpriority[5:]) ELSE o_orderpriority END AS value FROM orders)"
+for keep, way in (("first", ""), ("last", "DESC")):
+    applied(f"dedupe_ci_{keep}", CASES, Dedupe(False, keep), f"WITH {CASES_SQL} SELECT id, value FROM cases QUALIFY row_number() OVER (PARTITION BY upper(value) ORDER BY id {way}) = 1", *ID)
 counted("dedupe_counts", documents, Dedupe(), f"WITH {LINES} SELECT count(*) AS input, count(DISTINCT value) AS output, count(*) - count(DISTINCT value) AS affected FROM lines")
 
 # --- sort ----------------------------------------------------------------------------
@@ -162,6 +169,9 @@ ranked("sort_longest", documents, Sort("longest"), SRC_DOC, "length(value) DESC,
 ranked("sort_numeric", PRICES, Sort("numeric"), SRC_PRICE, "n IS NULL, n, upper(value), id")
 ranked("sort_numeric_desc", PRICES, Sort("numeric_desc"), SRC_PRICE, "n IS NULL DESC, n DESC, upper(value) DESC, id")
 ranked("sort_natural", BRANDS, Sort("natural"), SRC_BRAND, "upper(head), n, id")
+MIXED = column("part", "p_partkey", "concat(CASE WHEN p_partkey % 2 = 0 THEN 'item' ELSE 'ITEM' END, CAST(p_partkey % 120 AS STRING), '-', substring(p_brand, 1, 2), CAST(p_size AS STRING))")
+SRC_MIXED = "src AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'item' ELSE 'ITEM' END || CAST(p_partkey % 120 AS VARCHAR) || '-' || p_brand[1:2] || CAST(p_size AS VARCHAR) AS value, p_partkey % 120 AS n, upper(p_brand[1:2]) AS b, p_size AS z FROM part)"
+ranked("sort_natural_mixed", MIXED, Sort("natural"), SRC_MIXED, "n, b, z, id")
 
 # --- extract -------------------------------------------------------------------------
 
@@ -187,10 +197,9 @@ def extracted(name: str, source, operator: Extract, sql: str | None) -> None:
     add(name, query, sql)
 
 
-MAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,63}\b"
-QUAD = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
-HOST = r"(?i)\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\b"
-LINK = r"(?i)\bhttps?://[^\s<>\x22\x27]+"
+#: The operator's own patterns, for the SQL side.
+MAIL, QUAD, HOST, LINK = (r"(?i)" + PATTERNS[k] for k in ("email", "ipv4", "domain", "url"))
+LINK = LINK.replace("'", r"\x27")
 extracted("extract_email", documents, Extract("email"), _found(SRC_LINES, "upper(value)", MAIL))
 extracted("extract_email_all", documents, Extract("email", unique=False), _found(SRC_LINES, "", MAIL, unique=False))
 extracted("extract_ipv4", documents, Extract("ipv4"), _found(SRC_LINES, "value", QUAD))
@@ -336,6 +345,40 @@ add(
 add("case_key", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(S.upper_inv(F.col("text")).cast("binary")).alias("key")), "SELECT doc_id, md5(replace(upper(text), 'ẞ', 'ß')) AS key FROM documents")
 
 
+# --- files ---------------------------------------------------------------------------
+
+NUMBERED = "SELECT row_number() OVER (ORDER BY doc_id, pos) AS line_no, value FROM lines"
+NAMED = "SELECT row_number() OVER (ORDER BY p_partkey) AS line_no, '{}' || p_name AS value FROM part"
+for name, options in (("utf8", {}), ("crlf", {"ending": "\r\n"}), ("cr", {"ending": "\r"}), ("utf8_bom", {"encoding": FQ.UTF8_BOM}), ("utf16", {"encoding": FQ.UTF16})):
+    add(f"file_{name}", functools.partial(FQ.there_and_back, **options), f"WITH {LINES} {NUMBERED}")
+add("file_folder", FQ.folder, f"WITH {LINES} {NUMBERED}")
+add("file_utf16_plain", functools.partial(FQ.there_and_back, source=functools.partial(FQ.names, ""), encoding=FQ.UTF16_PLAIN), NAMED.format(""))
+for page, letter in (("cp1252", "é "), ("cp1254", "ş ")):
+    add(f"file_{page}", functools.partial(FQ.there_and_back, source=functools.partial(FQ.names, letter), encoding=TextEncoding(page, page), fallback=page), NAMED.format(letter))
+SIZE = "(SELECT CAST(sum(length(p_name) + 1) AS BIGINT) AS s, count(*) AS n FROM part)"
+add("file_inspect", FQ.inspected, f"SELECT name, label, line_ending, CASE name WHEN 'a' THEN s WHEN 'b' THEN s + n + 3 WHEN 'c' THEN 2 * s + 2 ELSE s + 2 * n END AS size, true AS mode FROM {SIZE}, (VALUES ('a', 'UTF-8', 'LF'), ('b', 'UTF-8 BOM', 'CRLF'), ('c', 'UTF-16 LE', 'LF'), ('d', 'ANSI (cp1252)', 'CR')) t(name, label, line_ending)")
+PARTED = f"WITH {LINES}, n AS ({NUMBERED}) SELECT 'data_part_' || lpad(CAST((line_no - 1) // 1000 + 1 AS VARCHAR), 4, '0') || '.txt' AS file, (line_no - 1) % 1000 + 1 AS line_no, value FROM n"
+add("file_parts", FQ.parts, PARTED)
+add("file_parts_utf16", functools.partial(FQ.parts, encoding=FQ.UTF16), PARTED)
+add("file_merge", FQ.merge, "WITH m AS (SELECT 0 AS f, p_partkey AS k, p_name AS value FROM part UNION ALL SELECT 1, 0, '--' UNION ALL SELECT 2, p_partkey, 'é ' || p_name FROM part) SELECT row_number() OVER (ORDER BY f, k) AS line_no, value FROM m")
+add("file_compare", FQ.compare, "WITH c AS (SELECT count(DISTINCT upper(n_name)) FILTER (n_regionkey = 1) AS r, count(DISTINCT upper(n_name)) FILTER (n_regionkey <> 1) AS o FROM nation) SELECT n_name AS value, r AS only_a, r AS only_b, o AS both FROM nation, c WHERE n_regionkey <> 1 QUALIFY row_number() OVER (PARTITION BY upper(n_name) ORDER BY n_nationkey) = 1")
+add("file_pipeline", functools.partial(FQ.pipeline, flagship=FLAGSHIP), f"WITH f AS ({ORACLES['pipeline_flagship']}) SELECT row_number() OVER (ORDER BY doc_id, pos) AS line_no, value, count(*) OVER () AS n FROM f")
+add("file_batch", FQ.batch, f"WITH {LINES} SELECT '/a/one.txt' AS source, '/a/one_clean.txt' AS output, count(*) AS input, count(DISTINCT trim(p_name)) AS lines, false AS failed FROM part WHERE trim(p_name) <> '' "
+    "UNION ALL SELECT '/two.log', '/two_clean.log', count(*), count(DISTINCT trim(value)), false FROM lines WHERE trim(value) <> '' UNION ALL SELECT '/none.txt', NULL, NULL, NULL, true")
+add("file_large", FQ.large, "WITH l AS (SELECT p_partkey, length(p_name) * CASE WHEN p_partkey = 7 THEN 5000 ELSE 1 END AS n FROM part) SELECT row_number() OVER (ORDER BY p_partkey) AS line_no, CASE WHEN n > 32768 THEN 32768 + length(' … [truncated]') ELSE n END AS size, n > 32768 AS cut FROM l")
+add("file_strict", FQ.strict, "SELECT CAST(3 AS BIGINT) AS lines, true AS raised")
+add("file_state", FQ.kept_state, "WITH k AS (SELECT k FROM range(25) t(k)), r AS (SELECT k % 22 AS f, max(k) AS k FROM k GROUP BY 1) SELECT 'day' AS kind, '2024-01-0' || (1 + k % 3) AS name, CAST(sum(k) AS BIGINT) AS n FROM k GROUP BY k % 3 "
+    "UNION ALL SELECT 'recent', '/Data/' || f || '.txt', row_number() OVER (ORDER BY k DESC) - 1 FROM r QUALIFY row_number() OVER (ORDER BY k DESC) <= 20 "
+    "UNION ALL SELECT * FROM (VALUES ('default', 'normal_bytes', 33554432), ('default', 'preview_lines', 5000), ('default', 'index_interval', 10000), ('default', 'search_results', 10000), ('default', 'recent_files', 20), ('default', 'parallel_files', 2))")
+add("file_names", FQ.free_names, "SELECT * FROM (VALUES ('data_clean.txt'), ('data_clean_2.txt'), ('data_clean_3.txt'), ('data_parts'), ('data_parts_2'), ('data_parts_3')) t(name)")
+add("jobs", FQ.jobs, "SELECT 'count' AS name, 'completed' AS state, count(*) AS result FROM orders UNION ALL SELECT 'again', 'completed', count(*) FROM orders UNION ALL SELECT 'again, first try', 'failed', 0 UNION ALL SELECT 'slow', 'failed', 0")
+add("editor_find_replace", FQ.editor, "WITH h AS (SELECT doc_id, text, text[1:500] AS head FROM documents), p AS (SELECT doc_id, text, CASE WHEN contains(head, 'the') THEN length(regexp_extract(head, '(?s)^(.*)the', 1)) WHEN contains(text, 'the') THEN length(regexp_extract(text, '(?s)^(.*)the', 1)) END AS place FROM h) "
+    "SELECT doc_id, CAST(place AS INTEGER) AS place, md5(CASE WHEN place IS NULL THEN text ELSE text[1:place] || '[THE]' || text[place + 4:] END) AS replaced, CAST(CASE WHEN length(text) > 100 THEN 101 ELSE length(text) END AS INTEGER) AS bounded FROM p")
+add("line_at_percent", FQ.percents, f"WITH {LINES}, c AS (SELECT count(*) AS n FROM lines) SELECT CAST(p AS INTEGER) AS percent, greatest(1, CAST(round_even(n * p / 100.0, 0) AS BIGINT)) AS line FROM c, (VALUES (0), (25), (50), (100)) t(p)")
+add("preview_columns", lambda s, d: N.first_lines(PARTS(s, d), Columns(" ", "extract", 1), 50).df.select(*ID), f"SELECT p_partkey AS id, {WORD}[2] AS value FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 50) WHERE len({WORD}) > 1")
+add("preview_split", lambda s, d: N.first_lines(PARTS(s, d), Split("lines", 20), 50).df.select("line_no", "part", "value"), "SELECT row_number() OVER (ORDER BY p_partkey) AS line_no, (row_number() OVER (ORDER BY p_partkey) - 1) // 20 + 1 AS part, p_name AS value FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 50)")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -120,7 +120,9 @@ class Jobs:
         for spark_job in context._jsc.sc().statusTracker().getJobIdsForTag(job.tag):
             info = tracker.getJobInfo(spark_job)
             for stage in info.stageIds if info else ():
-                if found := tracker.getStageInfo(stage):  # stages that are skipped have none
+                found = tracker.getStageInfo(stage)
+                # A job that is over has left out the stages whose results were there.
+                if found and (info.status == "RUNNING" or found.numCompletedTasks):
                     done, total = done + found.numCompletedTasks, total + found.numTasks
         found = Progress(done, total, 0.0 if job.began is None else (job.ended or now) - job.began)
         job.seen = now, found

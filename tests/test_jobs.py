@@ -27,3 +27,28 @@ def test_cancel(spark):
     assert runner.wait(first).state == J.COMPLETED
     assert runner.wait(second).state == J.CANCELLED and second.attempts == 0
     assert runner.wait(runner.retry(second)).result == 1
+
+
+def test_progress_is_that_of_one_job(spark):
+    runner, gate, seen = J.Jobs(spark, parallel=2), threading.Event(), []
+
+    def other(s):
+        s.range(100_000).repartition(40).count()
+        gate.wait(30)
+
+    busy = runner.submit("busy", other)
+    own = runner.submit("own", lambda s: s.range(10).repartition(3).selectExpr("sum(id)").collect())
+    runner.watch(own, seen.append)
+    alone = runner.progress(own)
+    gate.set()
+    runner.wait(busy)
+    assert 0 < alone.total < 40 and alone.done == alone.total and seen
+    first = runner.progress(own)
+    assert runner.progress(own) is first  # not looked at again so soon
+
+
+def test_a_job_beyond_its_limit_has_failed(spark):
+    runner = J.Jobs(spark)
+    job = runner.wait(runner.submit("slow", lambda s: s.range(1 << 50).selectExpr("sum(id % 7)").collect(), limit=1.0))
+    assert job.state == J.FAILED and "1 s" in job.error and job.ended - job.began < 20
+    assert runner.wait(runner.submit("quick", lambda s: s.range(3).count(), limit=60)).result == 3

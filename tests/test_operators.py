@@ -329,3 +329,40 @@ def test_partitions_do_not_matter(frame, lines):
     given = [rng.choice(["", "a", "A", "b1", "b10", "b9", " x ", "é", "😀"]) * rng.randint(0, 3) for _ in range(200)]
     for op in (Clean(), Dedupe(), Dedupe(keep="last", case_sensitive=False), Sort("natural"), Sort("longest"), Extract("custom", "[a-z]\\d*")):
         assert lines(op.apply(frame(given, 1))) == lines(op.apply(frame(given, 22)))
+
+
+def test_parts_by_bytes_by_doubled_pointers(spark, frame):
+    """Sizes of all kinds, lines beyond the limit too, against the rule in order; sums over blocks of a few lines."""
+    import random
+
+    from lineloom.operators import running, split
+
+    rng = random.Random(4)
+    for limit, most, newline in ((6, 9, 0), (40, 30, 2), (500, 60, 1), (3, 1, 0), (1, 5, 2)):
+        sizes = [rng.randint(0, most) for _ in range(200)]
+        expected, part, filled = [], 0, None
+        for n in sizes:
+            if filled is None or filled + n + newline > limit:
+                part, filled = part + 1, 0
+            filled += n + newline
+            expected.append(part)
+        block, span = running.BLOCK, split.SPAN
+        running.BLOCK, split.SPAN = 7, 50
+        try:
+            got = Split("bytes", limit, newline_bytes=newline).apply(frame(["x" * n for n in sizes], 3)).df.orderBy("line_no").collect()
+        finally:
+            running.BLOCK, split.SPAN = block, span
+        assert [r["part"] for r in got] == expected, (limit, most, newline)
+
+
+def test_case_of_letters_that_change_with_others(spark):
+    from lineloom.functions import semantics as S
+
+    given = ["straße ŉ ﬁ", "ΑΣ ΑΣΑ", "İstanbul ıſ", "ǰ ΐ և", "plain", "éÀ漢😀𐐨", "", None]
+    df = spark.createDataFrame([(v,) for v in given], "v string")
+    one = lambda t, change: None if t is None else "".join(change(c) if len(change(c)) == 1 else c for c in t)
+    upper = lambda c: c if c in "ıſ" else c.upper()
+    lower = lambda c: c if c == "İ" else c.lower()
+    got = df.select(S.upper_inv(df.v), S.lower_inv(df.v)).collect()
+    assert [r[0] for r in got] == [one(t, upper) for t in given]
+    assert [r[1] for r in got] == [one(t, lower) for t in given]

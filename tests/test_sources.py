@@ -213,3 +213,53 @@ def test_streams(spark, put, tmp_path):
     assert sorted(r[0] for r in spark.table("feed").collect()) == ["KEEP too", "keep me"]
     with pytest.raises(TypeError):
         stateless.apply(stream, Dedupe())
+
+
+def test_parts_with_marks_and_other_encodings(spark, tmp_path, put, lines):
+    given = [f"zeile {n} ü" for n in range(50)]
+    for name, encoding in (("bom", E.TextEncoding("utf-8", "UTF-8 BOM", True, 3)), ("wide", E.TextEncoding("utf-16-le", "UTF-16 LE", True, 2))):
+        source = put(f"{name}.txt", ("\ufeff" + "\n".join(given) + "\n").encode(encoding.name))
+        written = runs.split_file(spark, Split("lines", 20), source, str(tmp_path / f"{name}_parts"))
+        texts = [open(p, "rb").read().decode("utf-8-sig" if name == "bom" else "utf-16") for p in written]
+        assert "".join(texts) == "\n".join(given) + "\n" and [t.count("\n") for t in texts] == [20, 20, 10]
+        if name == "bom":
+            assert all(open(p, "rb").read().startswith(b"\xef\xbb\xbf") for p in written)
+    taken = tmp_path / "taken"
+    taken.mkdir()
+    (taken / "bom_part_002.txt").write_text("here")
+    with pytest.raises(FileExistsError):
+        runs.split_file(spark, Split("lines", 20), str(tmp_path / "bom.txt"), str(taken))
+    assert sorted(os.listdir(taken)) == ["bom_part_002.txt"] and (taken / "bom_part_002.txt").read_text() == "here"
+
+
+def test_large_files_have_bounded_lines(spark, put):
+    path = put("huge.txt", "x" * 2_000_000 + "\nshort\r\n")
+    first, second = (r[0] for r in X.read_large(spark, path).lines().collect())
+    assert len(first) < 150_000 and first.endswith("[truncated]") and second == "short"
+
+
+def test_a_code_page_may_be_chosen(spark, put, tmp_path, lines):
+    path = put("tr.txt", "ş ı\n".encode("cp1254"))
+    assert X.inspect(spark, path, fallback="cp1254").encoding.name == "cp1254"
+    assert X.read_text(spark, path, fallback="cp1254") == "ş ı\n"
+    target = str(tmp_path / "out.txt")
+    runs.run(spark, Clean(), path, target, fallback="cp1254")
+    assert open(target, "rb").read() == "ş ı\r\n".encode("cp1254")
+    Batch(Pipeline("p", (Step("clean"),)), fallback="cp1254").run(spark, [path], str(tmp_path / "b"))
+    assert open(tmp_path / "b" / "tr_result.txt", "rb").read() == "ş ı\r\n".encode("cp1254")
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from lineloom.sources import scratch as T
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "a"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        T.scratch(Session(), "x")
+    assert T.scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    table = T.stash(spark.range(3), "numbers")
+    assert table.count() == 3
+    T.discard(table)
+    assert not Files(spark).exists(table._scratch)
