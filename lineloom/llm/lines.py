@@ -190,7 +190,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """For every row ``id_col``, n_lines, n_removed and the text without later copies of repeated runs."""
     rows = _texts(docs, id_col, text_col)
     gone = later_copies(rows, min_words).withColumnRenamed("id", "gid").withColumnRenamed("th", "gth")
-    joined = rows.join(gone, rows["id"].eqNullSafe(gone["gid"]) & (rows["th"] == gone["gth"]), "left")
+    # Never by broadcast: which documents have copies grows with the corpus.
+    joined = rows.join(gone.hint("merge"), rows["id"].eqNullSafe(gone["gid"]) & (rows["th"] == gone["gth"]), "left")
     n_lines = F.when(F.col("body").isNull(), 0).otherwise(F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit(""))) + 1)
     return joined.select(
         F.col("id").alias(id_col),
@@ -206,7 +207,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mark = fresh(docs.columns, "gone")
     gone = gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), F.col("gone").alias(mark))
     text = column(docs, text_col)
-    joined = docs.join(gone, column(docs, id_col).eqNullSafe(gone["gid"]) & (F.xxhash64(text) == gone["gth"]), "left")
+    joined = docs.join(gone.hint("merge"), column(docs, id_col).eqNullSafe(gone["gid"]) & (F.xxhash64(text) == gone["gth"]), "left")
     kept = _kept(gone[mark], text)
     joined = joined.where(gone[mark].isNull() | (F.size(kept) > 0))
     changed = F.when(gone[mark].isNull(), text).otherwise(F.array_join(kept, "\n"))
