@@ -44,6 +44,7 @@ Defined results
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -68,6 +69,8 @@ LANES, STEPS, EXACT = 3, (1, 71, 115), 4
 SIMILAR_THRESHOLD = 1
 #: Candidates differ in so many of 128 bits at most; texts of similarity 0.8 do in 15, others in 64, or 50 if they share a table.
 SIMILAR_BITS = 28
+#: Fingerprints whose anchors are made at a time.
+DEALT = 256
 #: Longs of minwise bits in a sketch, and standard deviations by which those of similar texts may be worse than their mean.
 SKETCH, WORSE = 16, 2.5
 
@@ -156,8 +159,8 @@ def sketch(hashes: np.ndarray) -> list[int]:
     factors, shifts = _minwise()
     least = np.full(len(factors), np.iinfo(np.uint64).max)
     with np.errstate(over="ignore"):
-        for start in range(0, len(hashes), 512):
-            part = hashes[start : start + 512].view(np.uint64)
+        for start in range(0, len(hashes), 128):
+            part = hashes[start : start + 128].view(np.uint64)
             least = np.minimum(least, (part[:, None] * factors + shifts).min(axis=0))
     bits = ((least >> np.uint64(31)) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, bitorder="little").view("<i8").tolist()
@@ -178,28 +181,39 @@ class _Sets:
         return work
 
 
+HALF = 12
+
+
 @functools.cache
-def _syndromes() -> np.ndarray:
-    """The remainder of every 23-bit word by the generator."""
-    table = np.zeros(1, dtype=np.int32)
-    power = 1
-    for _ in range(WIDTH):
+def _halves() -> tuple[np.ndarray, np.ndarray]:
+    """The remainders by the generator of the words of the lower 12 bits, and of the upper 11."""
+    table, power, out = np.zeros(1, dtype=np.int64), 1, []
+    for bit in range(WIDTH):
+        if bit == HALF:
+            out.append(table)
+            table = np.zeros(1, dtype=np.int64)
         table = np.concatenate([table, table ^ power])
         power <<= 1
         if power >> 11:
             power ^= GENERATOR
-    return table
+    return out[0], table
+
+
+def _syndromes(words: np.ndarray) -> np.ndarray:
+    """The remainders of 23-bit words by the generator."""
+    low, high = _halves()
+    return low[words & ((1 << HALF) - 1)] ^ high[words >> HALF]
 
 
 @functools.cache
 def _errors() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By excess over the radius 0, 1, 2: for each syndrome (start, count) into words that have it."""
-    words = np.arange(1 << WIDTH, dtype=np.int32)
-    weight = np.bitwise_count(words)
+    of_weight = lambda n: [sum(1 << b for b in bits) for bits in itertools.combinations(range(WIDTH), n)]
     out = []
     for excess in range(THRESHOLD + 1):
-        chosen = words[weight <= RADIUS] if not excess else words[weight == RADIUS + excess]
-        key = _syndromes()[chosen]
+        weights = range(RADIUS + 1) if not excess else [RADIUS + excess]
+        chosen = np.array([w for n in weights for w in of_weight(n)], dtype=np.int64)
+        key = _syndromes(chosen)
         order = np.argsort(key, kind="stable")
         count = np.bincount(key, minlength=1 << 11)
         out.append((np.cumsum(count) - count, count, chosen[order]))
@@ -212,7 +226,7 @@ def anchors(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     bits = prints.view(np.uint64)
     one = (bits & mask).astype(np.int64)
     two = ((bits >> np.uint64(WIDTH)) & mask).astype(np.int64)
-    s1, s2 = _syndromes()[one], _syndromes()[two]
+    s1, s2 = _syndromes(one), _syndromes(two)
     index, found = [], []
     for i in range(most + 1):
         for j in range(most + 1 - i):
@@ -231,8 +245,8 @@ def anchors(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 def _deal(most, batches):
     for batch in batches:
         whole = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for start in range(0, len(whole), 4096):
-            prints = whole[start : start + 4096]
+        for start in range(0, len(whole), DEALT):
+            prints = whole[start : start + DEALT]
             at, anchor = anchors(prints, most)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(prints[at])], names=["anchor", "print"])
 
@@ -294,7 +308,7 @@ def table_anchors(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     for table, places in enumerate(_tables()):
         whole = bits[:, places] @ powers
         word, equal = whole & ((1 << WIDTH) - 1), whole >> WIDTH
-        syndrome = _syndromes()[word]
+        syndrome = _syndromes(word)
         for excess in range(most + 1):
             start, count, errors = _errors()[excess]
             n = count[syndrome]
@@ -309,8 +323,8 @@ def _deal_tables(most, more, batches):
     for batch in batches:
         names = batch.schema.names
         whole = np.stack([batch.column(names.index(f"p{k}")).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(LANES)], axis=1)
-        for start in range(0, len(whole), 1024):
-            at, keys = table_anchors(whole[start : start + 1024], most)
+        for start in range(0, len(whole), DEALT):
+            at, keys = table_anchors(whole[start : start + DEALT], most)
             rows = pa.array(at + start)
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(names.index(n)).take(rows) for n in ("node", "p0", "p1", "root", *more))], names=["key", "node", "p0", "p1", "root", *more])
 
