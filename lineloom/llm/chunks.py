@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import T, _binary, append_columns, column, discard, fresh, slices, stash
+from .common import T, _binary, append_columns, column, discard, fresh, release, slices, stash
 
 #: Bytes on either side among which the hash, of 16 bits and as many bytes, is least at a cut.
 REACH = 15
@@ -128,6 +128,7 @@ def _chunk_rows(text, batches):
             columns += [_lists(offsets, np.ascontiguousarray(both[:, k]), pa.int64()) for k in (0, 1)]
             columns += [_lists(offsets, ends, pa.int32()), _lists(offsets, np.concatenate(words), pa.int32()), _lists(offsets, local, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "d1", "d2", "end", "words", "local"])
+    release()
 
 
 def merged(places: list[dict], words: int = WORDS, least: int = BYTES) -> list[tuple[int, int]]:

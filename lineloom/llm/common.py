@@ -6,7 +6,9 @@ they need under names of their own, so extra or clashing columns do no harm.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,14 +57,26 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
+def release() -> None:
+    """Give the memory that a task no longer uses back: its Python worker stays, and waits beside stages that run in the JVM alone."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _run(make, text, also, names, types, batches):
     work = make()
-    for batch in batches:
-        for piece in slices(batch, text):
-            got = work(_binary(piece.column(text)), *[piece.column(i).to_pylist() for i in also])
-            arrays = [piece.column(i) for i in range(piece.num_columns)]
-            arrays += [pa.array(got[n], type=t) for n, t in zip(names, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=piece.schema.names + names)
+    try:
+        for batch in batches:
+            for piece in slices(batch, text):
+                got = work(_binary(piece.column(text)), *[piece.column(i).to_pylist() for i in also])
+                arrays = [piece.column(i) for i in range(piece.num_columns)]
+                arrays += [pa.array(got[n], type=t) for n, t in zip(names, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=piece.schema.names + names)
+    finally:
+        del work
+        release()
 
 
 def append_columns(df: DataFrame, text: str, added: T.StructType, make: Callable, also: tuple[str, ...] = ()) -> DataFrame:
@@ -91,4 +105,4 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return functools.reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
-__all__ = ["F", "T", "append_columns", "clear", "column", "discard", "documents", "fresh", "null_safe", "remove", "scratch", "shared_dir", "slices", "stash"]
+__all__ = ["F", "T", "append_columns", "clear", "column", "discard", "documents", "fresh", "null_safe", "release", "remove", "scratch", "shared_dir", "slices", "stash"]

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _binary, column, slices, stash
+from .common import _binary, column, release, slices, stash
 from .tokens import vocabulary, word_bpe
 
 CAPACITY = 2048
@@ -274,6 +274,7 @@ def _pieces(path, capacity, batches):
                 [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (begin, length, crc))],
                 names=["id", "piece", "start", "length", "crc"],
             )
+    release()
 
 
 def _place(shared, batches):
