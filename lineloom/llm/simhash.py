@@ -26,7 +26,7 @@ Golay block with threshold 1 and 4 of them equal.  A pair of similarity 0.8 is a
 of its partner's home in some table with a probability of about 0.95, one of 0.85 with
 0.99.  Homes of one anchor are first linked to its least text.  Then guests are
 compared with homes of other components only, and that twice: a semi-join tells which
-texts have a candidate at all; these get a sketch of 1,024 minwise bits, and only pairs
+texts have a candidate at all; these get a sketch of 2,048 minwise bits, and only pairs
 whose sketches agree as those of similar texts do are candidates.  So neither a group of
 near copies nor one of texts that are a little less similar gives all its pairs.
 
@@ -72,7 +72,7 @@ SIMILAR_BITS = 28
 #: Fingerprints whose anchors are made at a time.
 DEALT = 256
 #: Longs of minwise bits in a sketch, and standard deviations by which those of similar texts may be worse than their mean.
-SKETCH, WORSE = 16, 2.5
+SKETCH, WORSE = 32, 2.25
 
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the Golay code.
 GENERATOR = 0b110001110101
