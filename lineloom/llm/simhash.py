@@ -300,7 +300,7 @@ def _tables() -> list[np.ndarray]:
     return [np.arange(k * width, (k + 1) * width) * step % size for step in STEPS for k in range(size // width)]
 
 
-def table_anchors(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def table_anchors(prints: np.ndarray, most: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(index of the fingerprint, key of table, equal bits and anchor); prints: one row of lanes for each fingerprint."""
     bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
     powers = np.int64(1) << np.arange(WIDTH + EXACT, dtype=np.int64)
@@ -309,7 +309,7 @@ def table_anchors(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
         whole = bits[:, places] @ powers
         word, equal = whole & ((1 << WIDTH) - 1), whole >> WIDTH
         syndrome = _syndromes(word)
-        for excess in range(most + 1):
+        for excess in range(least, most + 1):
             start, count, errors = _errors()[excess]
             n = count[syndrome]
             at = np.repeat(np.arange(len(prints)), n)
@@ -319,20 +319,20 @@ def table_anchors(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(index), np.concatenate(keys)
 
 
-def _deal_tables(most, more, batches):
+def _deal_tables(most, least, more, batches):
     for batch in batches:
         names = batch.schema.names
         whole = np.stack([batch.column(names.index(f"p{k}")).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(LANES)], axis=1)
         for start in range(0, len(whole), DEALT):
-            at, keys = table_anchors(whole[start : start + DEALT], most)
+            at, keys = table_anchors(whole[start : start + DEALT], most, least)
             rows = pa.array(at + start)
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(names.index(n)).take(rows) for n in ("node", "p0", "p1", "root", *more))], names=["key", "node", "p0", "p1", "root", *more])
 
 
-def _dealt(nodes: DataFrame, most: int, more: list[str] | None = None) -> DataFrame:
+def _dealt(nodes: DataFrame, most: int, more: list[str] | None = None, least: int = 0) -> DataFrame:
     """(key, node, p0, p1, root, and columns ``more`` of longs) from nodes (node, p0, p1, .., root)."""
     names = ["key", "node", "p0", "p1", "root", *(more or [])]
-    return nodes.mapInArrow(functools.partial(_deal_tables, most, more or []), ", ".join(f"{n} long" for n in names))
+    return nodes.mapInArrow(functools.partial(_deal_tables, most, least, more or []), ", ".join(f"{n} long" for n in names))
 
 
 def _differing(*pairs: tuple[str, str]) -> Column:
@@ -400,11 +400,14 @@ def similarity_classes(rows: DataFrame, width: int = SIMILAR_SHINGLE, least: flo
     sketches = [f"k{i}" for i in range(SKETCH)]
     drawn = rooted.join(sets.drop("s"), "node")
     one = _dealt(drawn, 0, sketches).toDF("key", "a", "p0", "p1", "ra", *sketches)
-    two = _dealt(drawn, SIMILAR_THRESHOLD, sketches).toDF("key", "b", "q0", "q1", "rb", *[f"l{i}" for i in range(SKETCH)])
+    others = ["key", "b", "q0", "q1", "rb", *[f"l{i}" for i in range(SKETCH)]]
+    same, two = one.toDF(*others), _dealt(drawn, SIMILAR_THRESHOLD, sketches, least=1).toDF(*others)
     bits, share = 64 * SKETCH, (1 - least) / 2
     most = bits * share + WORSE * math.sqrt(bits * share * (1 - share))
-    apart = (one["key"] == two["key"]) & (F.col("ra") != F.col("rb")) & (_differing(*[(f"k{i}", f"l{i}") for i in range(SKETCH)]) <= most)
-    pairs = one.hint("merge").join(two, apart)
+    apart = (F.col("ra") != F.col("rb")) & (_differing(*[(f"k{i}", f"l{i}") for i in range(SKETCH)]) <= most)
+    # Texts of one home meet once, not from either side.
+    pairs = one.hint("merge").join(same, (one["key"] == same["key"]) & (F.col("a") < F.col("b")) & apart).select("a", "b")
+    pairs = pairs.union(one.hint("merge").join(two, (one["key"] == two["key"]) & apart).select("a", "b"))
     second = stash(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
     more = similar(second, sets, least)
     roots = stash(components(found.union(more)), "roots")
