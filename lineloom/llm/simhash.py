@@ -387,8 +387,7 @@ def similarity_classes(rows: DataFrame, width: int = SIMILAR_SHINGLE, least: flo
     sets = shingle_sets(ends, nodes, rows, width)
     found = similar(first, sets, least)
     discard(stars, first, sets)
-    linked = stash(components(found), "linked")
-    rooted = plain.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = plain.drop("root").join(components(found, written=True), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stash(rooted, "rooted")
     one = _dealt(rooted, 0).toDF("key", "a", "p0", "p1", "ra")
     two = _dealt(rooted, SIMILAR_THRESHOLD).toDF("key", "b", "q0", "q1", "rb")
@@ -410,10 +409,12 @@ def similarity_classes(rows: DataFrame, width: int = SIMILAR_SHINGLE, least: flo
     pairs = pairs.union(one.hint("merge").join(two, (one["key"] == two["key"]) & apart).select("a", "b"))
     second = stash(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
     more = similar(second, sets, least)
-    roots = stash(components(found.union(more)), "roots")
+    # The components so far are stars, which take fewer rounds than their links.
+    stars = rooted.where("node <> root").select("node", "root").toDF("a", "b")
+    roots = components(stars.union(more), written=True)
     done = nodes.join(roots, "node", "left").select(F.col("node").alias("th"), "none", "id", F.coalesce("root", "node").alias("root"))
     done = stash(done, "classes")
-    discard(nodes, found, linked, rooted, play, sets, second, more, roots)
+    discard(nodes, found, rooted, play, sets, second, more)
     return done
 
 

@@ -448,9 +448,12 @@ def test_links_find_every_pair(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 105), (105, 103), (200, 200), (7, 3)] + [(300, 300 + k) for k in range(1, 20)]
-    got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert got == {i: 0 for i in range(31)} | {i: 100 for i in (100, 103, 105)} | {300 + k: 300 for k in range(20)}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    stars = [(1, 9), (8, 1), (20, 21)]
+    for written in (False, True):
+        roots = lambda rows: sorted(tuple(r) for r in components.components(spark.createDataFrame(rows, "a long, b long"), written).collect())  # noqa: B023, E731
+        assert roots(edges + edges[:5]) == sorted(({i: 0 for i in range(31)} | {i: 100 for i in (100, 103, 105)} | {300 + k: 300 for k in range(20)}).items())
+        assert roots(stars) == [(1, 1), (8, 1), (9, 1), (20, 20), (21, 20)] == roots(stars * 2)
+        assert roots([]) == []
 
 
 # --- 5 substring dedup
