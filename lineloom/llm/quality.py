@@ -8,8 +8,8 @@ and no history, so the limits depend on the length.
 
 Limits are fitted on documents that are labelled good (``fit``): a curve of the ratio
 by length, and for each octave of the length how far good documents fall below it or
-rise above it.  The sample is bounded by ``SAMPLE`` documents, the least by the hash
-of their id.  Without ``LEAST_GOOD`` of them the fixed, wide bands below hold; a
+rise above it.  All of them and all their chunks count, as integers that are summed and
+ranked on the executors, so the result does not depend on the order of rows.  Without ``LEAST_GOOD`` of them the fixed, wide bands below hold; a
 fitted limit is never wider than these.
 
 Random letters, hexadecimal and the like have few symbols, so they compress as far as
@@ -31,14 +31,17 @@ Defined results
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, column, fresh
+from ..operators.frame import LineFrame
+from ..operators.running import before
+from .common import append_columns, column, discard, fresh, stash
 
 #: Limits of compressed/raw bytes by least length in bytes: (length, lowest, highest).
 #: Wide by intent: they hold where nothing is labelled.
@@ -59,9 +62,6 @@ NOISE = ((1024, 0.606, 1.05), (1280, 0.597, 1.04), (1536, 0.589, 1.03), (2048, 0
 #: A shorter rest is part of the chunk before: alone, the fixed costs of a frame would decide on it.
 CHUNK_LEAST = 512
 ZSTD_LEVEL = 3
-#: Documents labelled good from which limits are fitted, at most, and chunks of each, evenly spread.
-SAMPLE = 20_000
-SAMPLE_CHUNKS = 64
 #: Below so many, in all and in an octave of the length, there is no fit.
 LEAST_GOOD = 200
 LEAST_OCTAVE = 40
@@ -153,23 +153,79 @@ class Limits(NamedTuple):
 FIXED = (Limits(DOCUMENT_BANDS), Limits(CHUNK_BANDS))
 
 
-def fitted(bands: tuple, sizes: np.ndarray, ratios: np.ndarray) -> Limits:
-    """Limits from sizes and ratios of good texts."""
-    if len(sizes) < LEAST_GOOD:
-        return Limits(bands)
-    logs, octaves = np.log2(sizes), np.frexp(sizes)[1]  # bit lengths
-    degree = min(2, len(np.unique(octaves)) - 1)
-    curve = tuple(np.linalg.lstsq(np.vander(logs, degree + 1, increasing=True), ratios, rcond=None)[0].tolist())
-    rest = ratios - sum(c * logs**k for k, c in enumerate(curve))
-    beside: list[tuple[float, float] | None] = [None] * (int(octaves.max()) + 1)
-    for octave in np.unique(octaves).tolist():
-        own = rest[octaves == octave]
-        if len(own) >= LEAST_OCTAVE:
-            low, high = np.quantile(own, [BEYOND, 1 - BEYOND])
+#: Powers of logarithms are summed as integers of so many binary places.
+PLACES = 40
+
+
+def _curve(degree: int, powers: list[int], ratios: list[int]) -> tuple[float, ...]:
+    """Least squares from the sums of powers of x, and of ratios by powers of x, solved exactly."""
+    n = degree + 1
+    rows = [[Fraction(powers[i + k]) for k in range(n)] + [Fraction(ratios[i])] for i in range(n)]
+    for i in range(n):
+        at = next(k for k in range(i, n) if rows[k][i])
+        rows[i], rows[at] = rows[at], rows[i]
+        rows[i] = [v / rows[i][i] for v in rows[i]]
+        for k in range(n):
+            if k != i:
+                rows[k] = [v - rows[k][i] * w for v, w in zip(rows[k], rows[i], strict=True)]
+    return tuple(float(r[-1]) for r in rows)
+
+
+def _curves(pairs: DataFrame) -> dict[int, tuple[float, ...]]:
+    """By kind the coefficients of the curve, from (kind, size, packed, n); none for a kind with few texts."""
+    x, times = F.log2("size"), F.col("n").cast("decimal(18,0)")
+    whole = lambda value: F.sum(F.floor(value * 2**PLACES).cast("decimal(19,0)") * times)
+    sums = [whole(F.pow(x, F.lit(k))).alias(f"p{k}") for k in range(5)] + [whole(F.col("packed") / F.col("size") * F.pow(x, F.lit(k))).alias(f"r{k}") for k in range(3)]
+    out = {}
+    for r in pairs.groupBy("kind").agg(F.sum("n").alias("n"), F.count_distinct("octave").alias("octaves"), *sums).collect():
+        if r["n"] >= LEAST_GOOD:
+            out[r["kind"]] = _curve(min(2, r["octaves"] - 1), [int(r[f"p{k}"]) for k in range(5)], [int(r[f"r{k}"]) for k in range(3)])
+    return out
+
+
+def _beside(pairs: DataFrame, curves: dict[int, tuple[float, ...]]) -> dict[tuple[int, int], list[float]]:
+    """By kind and octave the three quantiles of the distance from the curve, interpolated between exact ranks."""
+    x = F.log2("size")
+
+    def middle(curve: tuple[float, ...]) -> Column:
+        return sum((F.lit(c) * F.pow(x, F.lit(k)) for k, c in enumerate(curve)), F.lit(0.0))
+
+    rest = F.coalesce(*[F.when(F.col("kind") == k, F.col("packed") / F.col("size") - middle(c)) for k, c in sorted(curves.items())])
+    pairs = pairs.withColumn("rest", rest).where("rest IS NOT NULL").select("kind", "octave", "rest", "n")
+    sizes = sorted(tuple(r) for r in pairs.groupBy("kind", "octave").agg(F.sum("n")).collect())  # a row for each octave
+    wanted, start = {}, 0
+    for kind, octave, n in sizes:
+        if n >= LEAST_OCTAVE:
+            for q in (BEYOND, 0.5, 1 - BEYOND):
+                low = math.floor(q * (n - 1))
+                wanted.setdefault((kind, octave), []).append((start + low, start + min(low + 1, n - 1), q * (n - 1) - low))
+        start += n
+    places = sorted({p for three in wanted.values() for a, b, _ in three for p in (a, b)})
+    if not places:
+        return {}
+    ranked = LineFrame.of(pairs.withColumn("value", F.lit("")), "kind", "octave", "rest").numbered("place")
+    past = before(ranked.df, "place", F.col("n"), "past")
+    held = F.filter(F.array(*[F.lit(p).cast("long") for p in places]), lambda p: (p >= F.col("past")) & (p < F.col("past") + F.col("n")))
+    at = {r[0]: r[1] for r in past.select(F.explode(held), "rest").collect()}  # a row for each place
+    return {key: [at[a] + (at[b] - at[a]) * t for a, b, t in three] for key, three in wanted.items()}
+
+
+def fitted(pairs: DataFrame) -> tuple[Limits, Limits]:
+    """Limits of texts (kind 0) and of chunks (kind 1), from (kind, size, packed, n) of good ones."""
+    pairs = stash(pairs.withColumn("octave", F.length(F.bin("size"))), "examples")
+    curves = _curves(pairs)
+    found = _beside(pairs, curves) if curves else {}
+    discard(pairs)
+    out = []
+    for kind, bands in enumerate((DOCUMENT_BANDS, CHUNK_BANDS)):
+        octaves = [o for k, o in found if k == kind]
+        beside: list[tuple[float, float] | None] = [None] * (max(octaves, default=-1) + 1)
+        for octave in octaves:
+            low, middle, high = found[kind, octave]
             # Widened about the middle of the octave, where the curve need not be.
-            middle = float(np.median(own))
-            beside[octave] = (middle + WIDER[0] * (float(low) - middle), middle + WIDER[1] * (float(high) - middle))
-    return Limits(bands, curve, tuple(beside))
+            beside[octave] = (middle + WIDER[0] * (low - middle), middle + WIDER[1] * (high - middle))
+        out.append(Limits(bands, curves.get(kind, ()), tuple(beside)))
+    return out[0], out[1]
 
 
 def fits(limits: Limits, data: bytes, ratio: float) -> bool:
@@ -204,9 +260,8 @@ def judge(text: bytes, compress, limits: tuple[Limits, Limits] = FIXED) -> tuple
     return whole, len(chunks), bad, passes and bad <= CHUNK_SHARE * len(chunks)
 
 
-def measure(text: bytes | None, compress, limits: tuple[Limits, Limits] = FIXED) -> tuple:
-    """The values of RESULT for one text."""
-    text = text or b""
+def base(text: bytes) -> tuple:
+    """The counts of one text, and whether it fails the base rules."""
     words = text.split()  # bytes.split() cuts at 09-0D and 20, as the rule says
     n = len(words)
     word_bytes = sum(map(len, words))
@@ -215,9 +270,15 @@ def measure(text: bytes | None, compress, limits: tuple[Limits, Limits] = FIXED)
     symbols = len(text) - len(text.translate(None, _SYMBOLS))
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     repeats = repeat_words(words)
-    base_failed = n < 50 or 100 * repeats > 50 * n
+    return n, word_chars, symbols, len(lines) - len(set(lines)), repeats, n < 50 or 100 * repeats > 50 * n
+
+
+def measure(text: bytes | None, compress, limits: tuple[Limits, Limits] = FIXED) -> tuple:
+    """The values of RESULT for one text."""
+    text = text or b""
+    counts = base(text)
     ratio, chunks, bad, passes = judge(text, compress, limits)
-    return n, word_chars, symbols, len(lines) - len(set(lines)), repeats, base_failed, passes and not base_failed, ratio, chunks, bad
+    return *counts, passes and not counts[-1], ratio, chunks, bad
 
 
 class _Judge:
@@ -239,39 +300,36 @@ class _Judge:
 
 
 def _examples():
-    """Sizes and ratios, first those of the text and then those of some of its chunks; none if it fails the base rules."""
+    """Sizes and compressed sizes, first those of the text and then those of its chunks; none if it fails the base rules."""
     import zstandard
 
     compress = zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress
-    n_base = RESULT.names.index("base_failed")
 
     def work(texts):
         out = []
         for text in texts:
             own = []
-            if text and not measure(text, compress)[n_base]:
+            if text and not base(text)[-1]:
                 chunks = pieces(text)
-                some = [chunks[int(k)] for k in np.unique(np.linspace(0, len(chunks) - 1, min(len(chunks), SAMPLE_CHUNKS)).astype(int))] if len(chunks) > 1 else []
-                own = [{"size": len(x), "ratio": len(compress(x)) / len(x)} for x in (text, *some)]
+                own = [{"size": len(x), "packed": len(compress(x))} for x in (text, *(chunks if len(chunks) > 1 else []))]
             out.append(own)
         return {"examples": out}
 
     return work
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[Limits, Limits]:
-    """Limits for documents and for chunks, from documents with label 1."""
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int | None = None) -> tuple[Limits, Limits]:
+    """Limits for documents and for chunks, from all documents with label 1; ``sample``: from so many, the least by the hash of their id."""
     good = labels.where(column(labels, label_col) == 1).select(column(labels, id_col).alias("key")).where("key IS NOT NULL").distinct()
-    good = good.orderBy(F.xxhash64("key"), "key").limit(sample)  # so many ids are broadcast, at most
+    if sample is not None:
+        good = good.orderBy(F.xxhash64("key"), "key").limit(sample)
     rows = df.select(column(df, id_col).alias("id"), column(df, text_col).alias("body"))
-    rows = rows.join(F.broadcast(good), rows["id"] == good["key"], "left_semi")
-    example = T.StructType([T.StructField("size", T.LongType()), T.StructField("ratio", T.DoubleType())])
-    found = append_columns(rows, "body", T.StructType([T.StructField("examples", T.ArrayType(example))]), _examples)
-    # One example for each id, so the driver gets ``sample`` rows at most.
-    found = found.where("size(examples) > 0").groupBy("id").agg(F.min("examples").alias("e")).select("e").collect()
-    texts = np.array([tuple(r[0][0]) for r in found], dtype=float).reshape(-1, 2)
-    chunks = np.array([tuple(x) for r in found for x in r[0][1:]], dtype=float).reshape(-1, 2)
-    return fitted(DOCUMENT_BANDS, texts[:, 0], texts[:, 1]), fitted(CHUNK_BANDS, chunks[:, 0], chunks[:, 1])
+    example = T.StructType([T.StructField("size", T.LongType()), T.StructField("packed", T.LongType())])
+    # Measured before the join, which then moves sizes and not texts, however many labels there are.
+    found = append_columns(rows, "body", T.StructType([T.StructField("examples", T.ArrayType(example))]), _examples).select("id", "examples").where("size(examples) > 0")
+    found = found.join(good, found["id"] == good["key"], "left_semi").groupBy("id").agg(F.min("examples").alias("e"))  # one example for each id
+    each = found.select(F.posexplode("e").alias("at", "x")).select(F.when(F.col("at") == 0, 0).otherwise(1).alias("kind"), "x.size", "x.packed")
+    return fitted(each.groupBy("kind", "size", "packed").agg(F.count("*").alias("n")))
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: tuple[Limits, Limits] = FIXED) -> DataFrame:

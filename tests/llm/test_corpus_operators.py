@@ -931,6 +931,36 @@ def test_fitted_bands_tell_good_from_bad(spark):
     assert share[0][0] > 100 and share[0][1] <= 0.3
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_limits_are_those_of_all_good_documents(spark):
+    """Against numpy on the driver, with one text of more than 64 chunks."""
+    import numpy as np
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    long = " ".join(r[1] for r in docs.where("doc_id < 400 AND text IS NOT NULL").collect())
+    docs = docs.union(spark.createDataFrame([(9_999_999, long)], docs.schema))
+    got = quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    pack, found = zstandard.ZstdCompressor(level=3).compress, ([], [])
+    for text in (r[0].encode() for r in docs.select("text").collect() if r[0] and not plain_quality(r[0])[-1]):
+        found[0].append((len(text), len(pack(text)) / len(text)))
+        own = quality.pieces(text)
+        found[1].extend((len(x), len(pack(x)) / len(x)) for x in own if len(own) > 1)
+    assert max(n for n, _ in found[0]) > 65 * 4096 and len(found[1]) > 200
+    for limits, examples in zip(got, found, strict=True):
+        sizes, ratios = np.array(examples).T
+        logs, octaves = np.log2(sizes), np.frexp(sizes)[1]
+        curve = np.polynomial.polynomial.polyfit(logs, ratios, min(2, len(set(octaves)) - 1))
+        assert np.allclose(limits.curve, curve, atol=1e-6)
+        for octave in set(octaves.tolist()):
+            rest = (ratios - np.polynomial.polynomial.polyval(logs, curve))[octaves == octave]
+            if len(rest) < quality.LEAST_OCTAVE:
+                assert octave >= len(limits.beside) or limits.beside[octave] is None
+                continue
+            low, middle, high = np.quantile(rest, [quality.BEYOND, 0.5, 1 - quality.BEYOND])
+            assert np.allclose(limits.beside[octave], (middle + 1.1 * (low - middle), middle + 1.5 * (high - middle)), atol=1e-6)
+
+
 def test_compression_bands(spark):
     import base64
     import random
